@@ -1,11 +1,19 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .licences import OP3_SQL, op3_licences
+from .mixing import OP4_SQL, op4_mixing
+from .pii import op1_pii
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_licences": op3_licences,
+    "op4_mixing": op4_mixing,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
 ORACLES = {
+    "op3_licences": OP3_SQL,
+    "op4_mixing": OP4_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
