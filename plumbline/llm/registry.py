@@ -1,6 +1,8 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
+from .bpe import op8_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .langid import op9_langid
 from .licences import OP3_SQL, op3_licences
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op1_pii
@@ -10,6 +12,8 @@ QUERIES = {
     "op3_licences": op3_licences,
     "op4_mixing": op4_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_bpe": op8_bpe,
+    "op9_langid": op9_langid,
 }
 
 ORACLES = {
