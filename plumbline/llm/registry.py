@@ -1,6 +1,7 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
 from .bpe import op8_bpe
+from .ctw import op10_lm_scores
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .langid import op9_langid
 from .licences import OP3_SQL, op3_licences
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLES = {
