@@ -7,11 +7,13 @@ from .langid import op9_langid
 from .licences import OP3_SQL, op3_licences
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op1_pii
+from .urls import op5_url_filter
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_licences": op3_licences,
     "op4_mixing": op4_mixing,
+    "op5_url_filter": op5_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
