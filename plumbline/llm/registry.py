@@ -5,6 +5,7 @@ from .ctw import op10_lm_scores
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .langid import op9_langid
 from .licences import OP3_SQL, op3_licences
+from .merkle import op6_fingerprints
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op1_pii
 from .urls import op5_url_filter
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_licences": op3_licences,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
+    "op6_fingerprints": op6_fingerprints,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
