@@ -6,12 +6,14 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .langid import op9_langid
 from .licences import OP3_SQL, op3_licences
 from .merkle import op6_fingerprints
+from .minhash import op2_minhash
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op1_pii
 from .urls import op5_url_filter
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_minhash": op2_minhash,
     "op3_licences": op3_licences,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
