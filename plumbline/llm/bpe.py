@@ -205,6 +205,22 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
+def with_ids(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """``docs`` with ``ids``, an array of token ids, in the place of the text (a column ``ids`` is replaced)."""
+    small_batches(docs.sparkSession)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    rest = [c for c in docs.columns if c not in (text_col, "ids")]
+    rows = docs.select(*[docs[f"`{c}`"] for c in rest], docs[text_col])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _built(vocabulary.value)
+        for b in batches:
+            ids = pa.array([bpe.encode(t.as_py()) for t in b.column(len(rest))], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*rest, "ids"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest) + ", ids array<int>")
+
+
 def decoded(rows: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str = VOCABULARY) -> DataFrame:
     """Per row: id and the text of its ``ids``; null ids decode to an empty text."""
     vocabulary = rows.sparkSession.sparkContext.broadcast(read_vocabulary(path))
