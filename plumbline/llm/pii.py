@@ -44,8 +44,6 @@ BYTE_PART = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 TERM = r"\p{L}{4,}"
 #: Code points on either side of a value that count as near it.
 NEAR = 80
-#: Candidate terms that are sent to every executor at most; beyond, both sides are shuffled.
-MOST_SENT = 200_000
 
 SPAN = "struct<start:int,end:int,value:string>"
 
@@ -119,9 +117,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     wanted = pairs.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text_or_empty(text_col), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    if wanted.limit(MOST_SENT + 1).count() <= MOST_SENT:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
-    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
     total = rows.count()
     share = F.log(F.col("n_te") * float(total) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
     telling = pairs.join(n_e, "entity").join(n_t, "term").filter(F.col("n_e") < total).withColumn("disclosure", share)
