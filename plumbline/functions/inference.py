@@ -194,7 +194,7 @@ def ks_tail(d: float, n: int) -> float:
     mat[-1, 0] += max(0.0, 2 * h - 1) ** m
     fact = np.array([math.lgamma(i + 1) for i in range(m + 1)])
     gap = np.subtract.outer(np.arange(m), np.arange(m)) + 1
-    mat = np.where(gap > 0, mat / np.exp(fact[np.maximum(gap, 0)]), mat)
+    mat = np.where(gap > 0, mat * np.exp(-fact[np.maximum(gap, 0)]), mat)
     result, scale, power, base, base_scale = np.eye(m), 0, n, mat, 0
     while power:
         if power & 1:
