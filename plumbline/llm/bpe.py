@@ -76,7 +76,8 @@ class ForcedBoundaryBPE:
         self.cut_after = [bytes(b for b in range(256) if (a, b) in apart) for a in range(256)]
         self.words = regex.compile(WORDS)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.unassigned = regex.compile("[" + "".join(f"{regex.escape(chr(a))}-{regex.escape(chr(b))}" for a, b in _unassigned()) + "]")
+        self.assigned = {chr(c) for c in range(128)}
+        self.id_texts = [str(i) for i in range(size)]
         bpe = self
 
         class Known(dict):
@@ -105,14 +106,19 @@ class ForcedBoundaryBPE:
         ids = [self.byte_ids[b] for b in part]
         if len(ids) > SCANNED:
             return self._merged_by_heap(ids)
-        none = (sys.maxsize, 0)
-        while len(ids) > 1:
-            ranks = [self.merges.get(pair, none)[0] for pair in zip(ids, ids[1:], strict=False)]
-            best = min(ranks)
-            if best == sys.maxsize:
+        get, none = self.merges.get, (sys.maxsize, 0)
+        found = [get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best is none:
                 break
-            k = ranks.index(best)
-            ids[k : k + 2] = [self.merges[ids[k], ids[k + 1]][1]]
+            k = found.index(best)
+            ids[k : k + 2] = [best[1]]
+            del found[k]
+            if k < len(found):
+                found[k] = get((ids[k], ids[k + 1]), none)
+            if k:
+                found[k - 1] = get((ids[k - 1], ids[k]), none)
         return ids
 
     def _merged_by_heap(self, ids: list[int]) -> list[int]:
@@ -138,7 +144,7 @@ class ForcedBoundaryBPE:
         for part in self.at_special.splititer(text) if self.at_special else (text,):
             if part in self.special:
                 yield [self.special[part]]
-            elif not part.isascii() and self.unassigned.search(part):
+            elif not part.isascii() and self._has_unassigned(part):
                 yield [i for word in self._library_words(part) for i in known[word]]
             elif len(part) < LONG_TEXT:
                 yield list(chain.from_iterable(map(known.__getitem__, self.words.findall(part))))
@@ -147,6 +153,13 @@ class ForcedBoundaryBPE:
                 while block := list(islice(words, BLOCK)):
                     yield list(chain.from_iterable(map(known.__getitem__, block)))
 
+    def _has_unassigned(self, text: str) -> bool:
+        new = set(text) - self.assigned
+        if any(unicodedata.category(c) == "Cn" for c in new):
+            return True
+        self.assigned |= new
+        return False
+
     def _library_words(self, text: str) -> list[str]:
         from tokenizers import pre_tokenizers
 
@@ -163,24 +176,13 @@ class ForcedBoundaryBPE:
         n, ids_sha, text_sha, decoder = 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
         for ids in self._pieces(text or ""):
             if ids:
-                ids_sha.update(b"," * bool(n) + ",".join(map(str, ids)).encode())
+                ids_sha.update(b"," * bool(n) + ",".join(map(self.id_texts.__getitem__, ids)).encode())
                 text_sha.update(decoder.decode(b"".join(map(self.token_bytes.__getitem__, ids))).encode())
                 n += len(ids)
         text_sha.update(decoder.decode(b"", True).encode())
         return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
-def _unassigned() -> list[tuple[int, int]]:
-    found: list[list[int]] = []
-    for c in range(128, sys.maxunicode + 1):
-        if unicodedata.category(chr(c)) == "Cn":
-            if found and found[-1][1] == c - 1:
-                found[-1][1] = c
-            else:
-                found.append([c, c])
-    return [(a, b) for a, b in found]
-
-
 @lru_cache(maxsize=2)
 def _built(vocabulary: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(vocabulary)
