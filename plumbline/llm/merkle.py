@@ -17,9 +17,9 @@ twice the common leaves (each as often as both have it) over all leaves of both,
 and 1 for equal roots.
 
 ``neighbours`` hands each row the next one by descending id (after the last the
-first): rows are range-partitioned and sorted, each partition pairs its own
-rows, and only the last text of a partition and the first of the next are
-brought together afterwards.
+first). A pass over ids and hashes of texts finds the first keys of ranges of
+like size; then each row goes to its range, and the first row of a range to the
+one before as well, where it is the last row's next. So texts are shuffled once.
 
 Defined cases: a null text is empty; an empty text has one empty leaf; rows with
 the same id are ordered by a hash of the text; null ids come last; a single row
@@ -36,10 +36,10 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, table, text_or_empty
+from .common import small_batches, table, text_or_empty
 
 LONG, EVERY = 300, 8
 BLANK_LINES = re.compile(r"\n(?:[^\S\n]*+\n)++")
@@ -155,58 +155,51 @@ TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.flo
 NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 
+def _bucket(key: Column, firsts: list[Column], low: int, high: int) -> Column:
+    """By a tree of comparisons: the last of the falling ``firsts`` that the key doesn't exceed, and whether it is the key."""
+    if high - low == 1:
+        return F.struct(F.lit(low).alias("bucket"), (key == firsts[low]).alias("is_first"))
+    mid = (low + high) // 2
+    return F.when(key <= firsts[mid], _bucket(key, firsts, mid, high)).otherwise(_bucket(key, firsts, low, mid))
+
+
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and ``compared`` of its text and that of the next row by descending id."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
-    order = [F.col("id").desc_nulls_last(), F.col("tie"), F.col("text")]
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("tie", F.bitwise_not(F.xxhash64("text")))
+    id_type = rows.schema["id"].dataType
+    kind = id_type.simpleString()
+    # the first keys of ranges of like size, as many as partitions
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order).select("id", "text")
-    kind = rows.schema["id"].dataType.simpleString()
+    keys = rows.select("id", "tie").repartitionByRange(parts, F.col("id").desc_nulls_last(), F.col("tie").desc())
+    found = keys.groupBy(F.spark_partition_id().alias("part")).agg(F.max(F.struct("id", "tie")).alias("first")).orderBy("part").collect()
+    firsts = [F.struct(F.lit(r["first"]["id"]).cast(id_type).alias("id"), F.lit(r["first"]["tie"]).cast("long").alias("tie")) for r in found]
+    if not firsts:
+        return spark.createDataFrame([], f"id {kind}, {RESULT}")
+    placed = rows.withColumn("at", _bucket(F.struct("id", "tie"), firsts, 0, len(firsts)))
+    ahead = F.pmod(F.col("at.bucket") - 1, F.lit(len(firsts)))
+    own, guest = F.struct(F.col("at.bucket").alias("bucket"), F.lit(False).alias("guest")), F.struct(ahead.alias("bucket"), F.lit(True).alias("guest"))
+    sent = placed.select("id", "text", "tie", F.explode(F.when(F.col("at.is_first"), F.array(own, guest)).otherwise(F.array(own))).alias("to")).select("to.*", "id", "tie", "text")
+    sent = sent.repartitionById(len(firsts), "bucket").sortWithinPartitions("bucket", "guest", F.col("id").desc_nulls_last(), F.col("tie").desc(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Finished rows; of each partition also its first text and its last row, with the partition's number."""
-        from pyspark import TaskContext
-
-        part, before, first = TaskContext.get().partitionId(), None, None
-
-        def out(id_type, done=(), place=None, ids=(), texts=()):
-            k = len(done)
-            cols = list(zip(*(d for _, d in done), strict=True)) or [()] * len(TYPES)
-            full = [[d for d, _ in done] + list(ids), [None] * k + [part] * len(ids), [None] * k + [place] * len(ids), [None] * k + list(texts)]
-            full += [list(c) + [None] * len(ids) for c in cols]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(full, [id_type, pa.int64(), pa.string(), pa.string(), *TYPES], strict=True)], names=["id", "part", "place", "text", *NAMES])
-
-        id_type = None
+        """Each row of a bucket meets the next one, the last one the bucket's guest."""
+        before = None
         for b in batches:
-            done, id_type = [], b.column(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, done = [], []
+            for bucket, is_guest, key, text in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
+                if is_guest and before is None:
+                    continue
                 mark = fingerprint(text)
-                if before is None:
-                    first = (key, text)
-                else:
-                    done.append((before[0], compared(before[1], text, before[2], mark)))
-                before = (key, text, mark)
-            yield out(id_type, done)
-        if before is not None:
-            yield out(id_type, place="first", ids=[first[0]], texts=[first[1]])
-            yield out(id_type, place="last", ids=[before[0]], texts=[before[1]])
-
-    found = staged(rows.mapInArrow(run, f"id {kind}, part long, place string, text string, {RESULT}"), "merkle-rows")
-    # the last row of each partition meets the first of the next that has rows; there are as many as partitions
-    used = sorted(r["part"] for r in found.filter("place = 'last'").select("part").collect())
-    after = spark.createDataFrame(list(zip(used, used[1:] + used[:1], strict=True)), "part long, next long")
-    firsts = found.filter("place = 'first'").select(F.col("part").alias("next"), F.col("text").alias("other"))
-    edges = found.filter("place = 'last'").select("id", "part", "text").join(after, "part").join(firsts, "next").select("id", "text", "other")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = [compared(t, o) for t, o in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                if before is not None:
+                    ids.append(before[0])
+                    done.append(compared(before[1], text, before[2], mark))
+                before = None if is_guest else (key, text, mark)
             cols = list(zip(*done, strict=True)) or [()] * len(TYPES)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, TYPES, strict=True))], names=["id", *NAMES])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(2).type), *(pa.array(c, t) for c, t in zip(cols, TYPES, strict=True))], names=["id", *NAMES])
 
-    return found.filter("place IS NULL").select("id", *NAMES).unionByName(edges.mapInArrow(finish, f"id {kind}, {RESULT}"))
+    return sent.mapInArrow(run, f"id {kind}, {RESULT}")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
