@@ -108,3 +108,36 @@ def test_defined_cases(spark, documents):
     assert sorted(str(r["doc_id"]) for r in minhash.drop_near(odd).collect()) == ["2", "7", "None"]
     twice = documents([(3, text), (3, text), (4, text)]).selectExpr("*", "1 AS row")
     assert [(r["doc_id"], r["row"]) for r in minhash.drop_near(twice).collect()] == [(3, 1)]
+
+
+def test_last_round_in_blocks(spark, documents, monkeypatch):
+    """Copies of one text with so many changes that some are linked and some just aren't, in blocks of a few."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    check(minhash.near_classes(documents(rows)), rows)
+
+
+def test_close_pairs_come_once(spark):
+    """All pairs of one bucket that are unlike components and close, none twice."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    sets = []
+    for k in range(40):
+        own = base.copy()
+        own[: k % 8 * 6] = rng.integers(0, 2**63, k % 8 * 6, dtype=np.uint64)
+        sets.append(np.unique(own))
+    keys = [minhash.bands(minhash.signature(s)) for s in sets]
+    placed = spark.createDataFrame([(int(x), b, k, 200, k // 2) for k, own in enumerate(keys) for b, x in enumerate(own)], "key long, band int, c long, n long, comp long")
+    table = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "c long, numbers binary")
+    got = [(r["a"], r["b"]) for r in minhash.close_pairs(placed, table).collect()]
+    long = [minhash.signature(s, minhash.LONG_SIGNATURE).astype(np.uint8) for s in sets]
+    want = {(a, b) for b in range(40) for a in range(b) if a // 2 != b // 2 and (keys[a] == keys[b]).any() and np.mean(long[a] == long[b]) >= minhash.CLOSE}
+    assert set(got) == want and len(got) == len(want) > 50
