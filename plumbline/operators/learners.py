@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import UpliftError
+from ..functions.ordered import MIDDLE, middle, values_at
 from ..sources.sinks import write_atomic
 from ..sources.staging import staged
 from . import uplift
 
 TREATMENT = "__treatment__"
 UNKNOWN = "unknown"
+#: Rows whose medians are found in one aggregate at most.
+GATHERED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -78,7 +81,7 @@ class Preprocessor:
     def fit(self, df: DataFrame) -> Preprocessor:
         rows, names = self._prepared(df), [f"__n{k}" for k in range(len(self._numbers()))]
         if names:
-            medians = rows.agg(*[F.median(c).alias(c) for c in names]).first().asDict()
+            medians = _medians(rows, names)
             medians = {c: 0.0 if v is None else v for c, v in medians.items()}
             filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in medians.items()}
             moments = rows.agg(*[f(filled[c]).alias(f"{c}{n}") for c in names for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first().asDict()
@@ -100,6 +103,15 @@ class Preprocessor:
         return rows.select(*[f"`{c}`" for c in df.columns], "__features")
 
 
+def _medians(rows: DataFrame, names: list[str]) -> dict[str, float | None]:
+    """Exact medians: gathered in one aggregate while there are few rows, by places in a distributed order beyond."""
+    if rows.count() <= GATHERED:
+        return rows.agg(*[F.median(c).alias(c) for c in names]).first().asDict()
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in names])).alias("x")).select("x.*")
+    found = {r["column"]: r["median"] for r in values_at(long, MIDDLE).select("column", middle().alias("median")).collect()}
+    return {c: found.get(c) for c in names}
+
+
 def _fitted(df: DataFrame, pre: Preprocessor, target: str, what: str, estimator=None):
     n, kinds = df.agg(F.count(F.lit(1)), F.count_distinct(target)).first()
     if kinds < 2:

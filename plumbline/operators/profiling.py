@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordered import running
+from ..functions.ordered import MIDDLE, middle, values_at
 from ..sources.loader import schemas
 from ..sources.sinks import write_csv, write_json
 
@@ -76,21 +76,6 @@ def overview(entity: str, df: DataFrame) -> DataFrame:
     return both.select(F.lit(entity).alias("entity"), F.col("rows").alias("row_count"), F.lit(len(df.columns)).alias("column_count"), "duplicate_rows", rate.alias("duplicate_rate"), "total_nulls", "total_nans")
 
 
-def nearest_quantiles(values: DataFrame, shares: Mapping[str, float]) -> DataFrame:
-    """Per ``column`` the value at place round((n-1) share) of its sorted ``value``s.
-
-    Equal values are counted first; the places are running sums over distinct
-    values, so no column is sorted in one task.
-    """
-    counts = values.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    placed = running(counts, [F.col("column"), F.col("value")], {"upto": F.col("n")})
-    ends = placed.groupBy("column").agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.sum("n").alias("total"))
-    placed = placed.join(F.broadcast(ends), "column").withColumn("upto", F.col("upto") - F.col("start"))
-    place = lambda q: F.round((F.col("total") - 1) * q)
-    hit = lambda q: (F.col("upto") > place(q)) & (F.col("upto") - F.col("n") <= place(q))
-    return placed.groupBy("column").agg(*[F.max(F.when(hit(q), F.col("value"))).alias(name) for name, q in shares.items()])
-
-
 def numeric_summary(entity: str, df: DataFrame) -> DataFrame:
     """Per numeric column mean, deviation, extremes, median and nearest quartiles; NaN counts as null."""
     numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
@@ -99,9 +84,9 @@ def numeric_summary(entity: str, df: DataFrame) -> DataFrame:
     floats = _floats(df)
     value = lambda c: F.when(~F.isnan(_quoted(c)), _quoted(c)).cast("double") if c in floats else _quoted(c).cast("double")
     values = _long(df, numeric, value)
-    moments = values.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.median("value").alias("median"))
-    quartiles = nearest_quantiles(values, {"q25": 0.25, "q75": 0.75})
-    return moments.join(quartiles, "column", "left").select(F.lit(entity).alias("entity"), "column", "mean", "std", "min", "q25", "median", "q75", "max")
+    moments = values.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    places = {"q25": lambda n: F.round((n - 1) * 0.25), "q75": lambda n: F.round((n - 1) * 0.75), **MIDDLE}
+    return moments.join(values_at(values, places).withColumn("median", middle()), "column", "left").select(F.lit(entity).alias("entity"), "column", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
 def frequent_values(entity: str, df: DataFrame, profile: DataFrame | None = None, most: int = 50, top: int = 10) -> DataFrame:

@@ -21,10 +21,11 @@ def add_scores(df: DataFrame, scores: dict[str, tuple[str, bool]] = SCORES) -> D
 
     The ranks of distinct values are joined back by value.
     """
+    ranks = average_ranks(df, [column for column, _ in scores.values()])
     for name, (column, small_is_good) in scores.items():
-        ranks = average_ranks(df, column, descending=small_is_good)
-        ranks = ranks.select(F.col(column).alias("__value"), score(F.col("rank"), F.col("values")).alias(name))
-        df = df.join(ranks, F.col(column) == F.col("__value"), "left").drop("__value")
+        rank = F.col("values") + 1 - F.col("rank") if small_is_good else F.col("rank")
+        own = ranks.filter(F.col("metric") == column).select(F.col("value").alias("__value"), score(rank, F.col("values")).alias(name))
+        df = df.join(own, F.col(column).cast("double") == F.col("__value"), "left").drop("__value")
     r, f, m = (F.col(n) for n in SCORES)
     known = r.isNotNull() & f.isNotNull() & m.isNotNull()
     code = F.concat(F.lit("R"), r.cast("string"), F.lit("F"), f.cast("string"), F.lit("M"), m.cast("string"))

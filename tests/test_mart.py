@@ -108,7 +108,9 @@ def test_scores(spark):
 
 def test_average_ranks_and_running_sums(spark):
     df = spark.createDataFrame([(v,) for v in (5, 1, 5, 3, 5, None, 1)], "v long")
-    assert {r["v"]: r["rank"] for r in average_ranks(df, "v").collect()} == {1: 1.5, 3: 3.0, 5: 5.0}
+    both = df.withColumn("w", -F.col("v"))
+    ranks = {(r["metric"], r["value"]): (r["rank"], r["values"]) for r in average_ranks(both, ["v", "w"]).collect()}
+    assert ranks == {("v", 1): (1.5, 6), ("v", 3): (3, 6), ("v", 5): (5, 6), ("w", -5): (2, 6), ("w", -3): (4, 6), ("w", -1): (5.5, 6)}
     rows = running(spark.range(1000), [F.col("id").desc()], {"s": F.col("id")}, position="p").orderBy("p").collect()
     assert [r["p"] for r in rows] == list(range(1, 1001)) and rows[2]["s"] == 999 + 998 + 997
     assert running(spark.range(0), [F.col("id")], position="p").count() == 0

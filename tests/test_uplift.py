@@ -99,6 +99,13 @@ def test_model_matches_a_newton_solution(customers):
     assert np.allclose(s.model.coefficients.toArray(), w[:2], atol=1e-5) and math.isclose(s.model.intercept, w[2], abs_tol=1e-5)
 
 
+def test_medians_in_either_way(customers, monkeypatch):
+    rows = customers.select(F.col("numeric_feature").alias("x"), F.col("client_id").cast("double").alias("y"), F.lit(None).cast("double").alias("z"))
+    want = learners._medians(rows, ["x", "y", "z"])
+    monkeypatch.setattr(learners, "GATHERED", 0)
+    assert learners._medians(rows, ["x", "y", "z"]) == want and want["z"] is None
+
+
 def test_unseen_categories_and_all_kinds_of_features(spark, customers):
     kinds = customers.withColumns({"flag": F.col("client_id") % 2 == 0, "day": F.date_add(F.lit("2024-01-01").cast("date"), F.col("client_id").cast("int")), "at": F.timestamp_seconds("client_id"), "nothing": F.lit(None).cast("double")})
     t = learners.TLearner().fit(kinds, ["numeric_feature", "category_feature", "flag", "day", "at", "nothing"])
