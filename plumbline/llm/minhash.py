@@ -209,7 +209,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = staged(small, "near-edges")
         now = edges.agg(*mark).first()
         if now == seen:
-            return edges.select(F.col("a").alias("c"), F.col("b").alias("comp")).union(edges.select("b", "b").distinct())
+            return staged(edges.select(F.col("a").alias("c"), F.col("b").alias("comp")).union(edges.select("b", "b").distinct()), "near-comps")
         seen = now
 
 
@@ -232,7 +232,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comps = components(links)
 
     placed = staged(_placed(members, comps), "near-placed")
-    ends = placed.join(classes.select(F.col("c").alias("center")).join(comps.select(F.col("c").alias("center"), F.col("comp").alias("center_comp")), "center", "left").select("center", F.coalesce("center_comp", "center").alias("center_comp")), "center")
+    ends = placed.join(comps.select(F.col("c").alias("center"), F.col("comp").alias("center_comp")), "center", "left").withColumn("center_comp", F.coalesce("center_comp", "center"))
     more = linked(ends.filter("comp <> center_comp").select(F.col("c").alias("a"), F.col("center").alias("b")).distinct(), sets)
     links = links.union(more)
     comps = components(links)
