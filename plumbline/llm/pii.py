@@ -156,3 +156,57 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.concat(base, _listed("term", "term")), ",").alias("spans"),
         F.size("term").cast("long").alias("n_term"),
     )
+
+
+def _sql_spans(text: str, pattern: str, more: str) -> str:
+    """Rows of a table's texts: more, start, stop, value of each match."""
+    return f"""SELECT {more}, list_sum([length(x) FOR x IN g[:i]])::BIGINT + coalesce(list_sum([length(x) FOR x IN m[:i-1]]), 0)::BIGINT AS start,
+    list_sum([length(x) FOR x IN g[:i]])::BIGINT + list_sum([length(x) FOR x IN m[:i]])::BIGINT AS stop, m[i] AS value
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT *, regexp_extract_all({text}, '{pattern}') AS m, string_split_regex({text}, '{pattern}') AS g"""
+
+
+# The patterns as they are given.
+GIVEN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(list_reverse(string_split({_DIGITS}, '')), lambda x, k: CASE WHEN k % 2 = 1 THEN x::INTEGER WHEN x::INTEGER < 5 THEN 2 * x::INTEGER ELSE 2 * x::INTEGER - 9 END)) % 10 = 0"
+_HOLDS = {
+    "email": "true",
+    "ip": f"regexp_full_match(value, '{BYTE_PART}(?:[.]{BYTE_PART}){{3}}')",
+    "card": f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}",
+    "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
+}
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+base AS (
+  {" UNION ALL ".join(f"SELECT rid, {k} AS kind_no, '{kind}' AS kind, start, stop, value FROM ({_sql_spans('t', GIVEN[kind], 'rid')} FROM d))) WHERE {_HOLDS[kind]}" for k, kind in enumerate(KINDS))}),
+mentions AS (
+  SELECT rid, kind || ':' || lower(value) AS entity, greatest(start - {NEAR}, 0) AS at_place,
+         substring(t, greatest(start - {NEAR}, 0) + 1, least(start, {NEAR})) || repeat(' ', stop - start) || substring(t, stop + 1, {NEAR}) AS around
+  FROM base JOIN d USING (rid)),
+found AS ({_sql_spans("around", TERM, "rid, entity, around, at_place")} FROM mentions))),
+terms AS (
+  SELECT rid, entity, around, lower(value) AS term, at_place + start AS start, at_place + stop AS stop FROM found f
+  WHERE (at_place = 0 OR start > 0) AND stop < length(around)
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = f.rid AND b.start < at_place + f.stop AND b.stop > at_place + f.start)),
+pairs AS (SELECT entity, term, count(DISTINCT rid) AS n_te FROM terms GROUP BY ALL HAVING count(DISTINCT around) >= 3),
+n_e AS (SELECT entity, count(DISTINCT rid) AS n_e FROM mentions GROUP BY 1),
+n_t AS (
+  SELECT term, count(*) AS n_t FROM (SELECT DISTINCT rid, lower(unnest(regexp_extract_all(t, '{TERM}'))) AS term FROM d)
+  WHERE term IN (SELECT term FROM pairs) GROUP BY 1),
+total AS (SELECT count(*)::DOUBLE AS total FROM d),
+telling AS (
+  SELECT entity, term FROM pairs JOIN n_e USING (entity) JOIN n_t USING (term), total
+  WHERE n_e < total AND ln(n_te * total / (n_t * n_e)) / ln(total / n_e) >= 0.8),
+flagged AS (SELECT DISTINCT rid, start, stop, term FROM terms JOIN telling USING (entity, term)),
+listed AS (SELECT rid, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY kind_no, start) AS spans,
+                  {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)} FROM base GROUP BY rid),
+more AS (SELECT rid, string_agg('term:' || start || ':' || stop, ',' ORDER BY start, stop, term) AS spans, count(*) AS n_term FROM flagged GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(l.spans, '')) AS base_sha256,
+       concat_ws(',', l.spans, m.spans) AS spans, coalesce(n_term, 0) AS n_term
+FROM d LEFT JOIN listed l USING (rid) LEFT JOIN more m USING (rid)
+"""

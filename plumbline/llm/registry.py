@@ -6,9 +6,9 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .langid import op9_langid
 from .licences import OP3_SQL, op3_licences
 from .merkle import op6_fingerprints
-from .minhash import op2_minhash
+from .minhash import OP2_SQL, op2_minhash
 from .mixing import OP4_SQL, op4_mixing
-from .pii import op1_pii
+from .pii import OP1_SQL, op1_pii
 from .urls import op5_url_filter
 
 QUERIES = {
@@ -25,6 +25,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_pii": OP1_SQL,
+    "op2_minhash": OP2_SQL,
     "op3_licences": OP3_SQL,
     "op4_mixing": OP4_SQL,
     "op7_exact_dedup": OP7_SQL,

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -52,8 +53,12 @@ def check(found, rows):
 
 def test_whole_table_matches_brute_force(spark):
     t = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
-    found = minhash.op2_minhash(spark, SF).withColumnRenamed("doc_id", "id")
-    check(found, list(zip(t["doc_id"], t["text"], strict=True)))
+    found = minhash.op2_minhash(spark, SF)
+    check(found.withColumnRenamed("doc_id", "id"), list(zip(t["doc_id"], t["text"], strict=True)))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({minhash.OP2_SQL}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in found.orderBy("doc_id").collect()] == want
 
 
 def test_chains_of_close_copies(spark, documents):

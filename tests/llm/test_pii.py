@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 import pyarrow.parquet as pq
 
 from plumbline.llm import pii
@@ -94,3 +95,19 @@ def test_empty_table_nulls_and_clashing_columns(spark, documents):
     odd = odd.selectExpr("*", "1 AS rid", "2 AS id", "3 AS t", "4 AS term", "5 AS email", "6 AS near")
     got = sorted((str(r["id"]), len(r["email"])) for r in pii.find_personal(odd).collect())
     assert got == [("3", 1), ("3", 1), ("None", 0), ("None", 1)]
+
+
+def test_sql_gives_the_same_rows(spark, documents, written):
+    """On all of a table, and on texts with disclosing terms, edges of windows and overlaps."""
+    texts = [f"Number {w} of Quixote reach joe@example.org by {w} mail." for w in ("alpha", "bravo", "delta", "gamma")]
+    texts += [f"number of {w} by mail reach" for w in ("other", "plain", "words", "alpha")] * 5
+    texts += [f"{'pad ' * k}Quixote joe@example.org 10.0.0.{k} +44 20 7946 0958 Sancho Quixote joe@example.org" for k in range(15, 24)]
+    texts += [t for t in TEXTS if t is None or len(t) < 5000]
+    for folder in (SF, written(documents=documents(texts))):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet{'' if folder == SF else '/*.parquet'}'")
+        rows = pii.op1_pii(spark, folder)
+        want = con.execute(f"SELECT {', '.join(rows.columns)} FROM ({pii.OP1_SQL}) ORDER BY doc_id").fetchall()
+        got = [tuple(r) for r in rows.orderBy("doc_id").collect()]
+        assert got == want
+    assert sum(r[-1] for r in got) > 10
