@@ -233,7 +233,7 @@ def experiment_overview(dim: DataFrame, results: DataFrame, validation: DataFram
 
 def named_performance(rows: DataFrame, dim: DataFrame) -> DataFrame:
     """Rows of a result table with their experiment's name: the segment, model and strategy views."""
-    return rows.join(F.broadcast(dim.select("experiment_key", "experiment_name")), "experiment_key").select("experiment_name", *rows.columns)
+    return rows.join(dim.select("experiment_key", "experiment_name"), "experiment_key").select("experiment_name", *rows.columns)
 
 
 def create_views(store: Tables) -> list[str]:
