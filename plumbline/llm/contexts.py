@@ -15,7 +15,7 @@ import numpy as np
 
 EDGE = 0xFF
 #: Bytes of text that are looked at together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 
 
 def lowered(text: str | None) -> bytes:
