@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contexts
-from .common import share_of, small_batches, table
+from .common import share_of, small_batches, staged, table
 
 DEPTH = 3
 #: Documents to learn each language from, about; contexts per depth, at most, for one and for all languages.
 SAMPLE, KEPT, KEPT_IN_ALL = 1000, 4096, 16384
 #: A byte of a known language in its scripts costs 1 to 5 bits, random digits and letters up to 10, one that was never seen over 15.
 MOST_BITS = 12
+#: Languages whose sampled parts are sent to every executor at most; beyond, texts are shuffled by language.
+MOST_SENT = 10_000
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -119,7 +121,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sizes = known.groupBy("lang").count()
     thin = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("part"))
     drawn = F.pmod(F.xxhash64(F.lit(0), F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 20)) < F.col("part") * (1 << 20)
-    chosen = known.filter(F.col("text").isNotNull()).join(F.broadcast(thin.limit(KEPT_IN_ALL)), "lang").filter(drawn)
+    thin = staged(thin, "lang-parts")
+    few = thin.count() <= MOST_SENT
+    chosen = known.filter(F.col("text").isNotNull()).join(F.broadcast(thin) if few else thin, "lang").filter(drawn)
     counts = gram_counts(chosen, DEPTH).toPandas()
     if counts.empty:
         return None
