@@ -23,6 +23,8 @@ an empty table gives an empty result; other columns are left alone.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,14 +52,13 @@ def block_key(id_col: str | Column, block: Column, seed: int) -> Column:
 
 def exponent(shares: DataFrame, n: int, entropy: float, repeats: float, budget: float) -> int:
     """The exponent, in steps. ``shares``: a row with ``p`` for each source that has tokens."""
-    spark = shares.sparkSession
 
     def tried(low: int, high: int) -> list[tuple[int, float, float]]:
         steps = sorted({low + (high - low) * k // FAN for k in range(FAN + 1)})
-        grid = shares.crossJoin(F.broadcast(spark.createDataFrame([(j,) for j in steps], "j long"))).withColumn("a", F.col("j") / STEPS)
+        grid = shares.select("p", F.explode(F.array(*[F.lit(j) for j in steps])).alias("j")).withColumn("a", F.col("j") / STEPS)
         power = F.pow("p", "a")
         sums = grid.groupBy("j").agg(F.sum(power).alias("z"), F.sum(power * F.log("p")).alias("zl"), F.max(F.pow(F.col("p"), F.col("a") - 1)).alias("most"), F.first("a").alias("a"))
-        return sorted((r["j"], _ln(r["z"]) - r["a"] * r["zl"] / r["z"], budget * r["most"] / r["z"]) for r in sums.collect())
+        return sorted((r["j"], math.log(r["z"]) - r["a"] * r["zl"] / r["z"], budget * r["most"] / r["z"]) for r in sums.collect())
 
     def last(holds, low: int = 0, high: int = STEPS) -> int:
         """The last step at which ``holds``, which is so at low and up to some step."""
@@ -70,19 +71,13 @@ def exponent(shares: DataFrame, n: int, entropy: float, repeats: float, budget:
             if high - low <= 1:
                 return low
 
-    wide = last(lambda h, _: h >= entropy * _ln(n) - 1e-12)
+    wide = last(lambda h, _: h >= entropy * math.log(n) - 1e-12)
     (_, _, most), *_ = [x for x in tried(wide, wide + 1) if x[0] == wide]
     if most <= repeats:
         return wide
     return min(STEPS, last(lambda _, most: most > repeats) + 1)
 
 
-def _ln(x: float) -> float:
-    import math
-
-    return math.log(x)
-
-
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = 0.95, repeats: float = 2.0, budget: float = 1.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(per row: id, source, n_tokens), (per source: source, weight, quota, blocks, cut)."""
     rows = staged(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), n_tokens(text_col).alias("n_tokens")), "mix-rows")
