@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..errors import ConfigError, DataError
 from ..sources.sinks import write_atomic, write_json
+from ..sources.staging import staged
 from .guards import require_columns, require_filled, require_numeric, require_unique
 from .rfm import add_scores
 from .roles import MartConfig
@@ -173,6 +174,7 @@ def attach_experiment(mart: DataFrame, experiment: DataFrame, config: MartConfig
 def build_mart(frames: Mapping[str, DataFrame], config: MartConfig) -> DataFrame:
     clients = prepare_clients(frames["clients"], config)
     _, eligible = prepare_purchases(frames["purchases"], config)
+    eligible = staged(eligible, "eligible")  # read by every group of features and by the link checks
     if config.strict_referential_integrity:
         require_links(eligible, clients, "client_id", "clients")
     mart = clients.join(transaction_features(eligible, config), "client_id", "left")
