@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SENT_TO: set[str] = set()
+
+
+def importable(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application: they may start in any folder, and have no copy of it."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent.parent
+    if context.applicationId in _SENT_TO or not package.is_dir():
+        return
+    path = f"{tempfile.mkdtemp()}/{package.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(path)
+    _SENT_TO.add(context.applicationId)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
-    """Bound the Arrow batches in which whole texts go to Python workers."""
+    """Bound the Arrow batches in which whole texts go to Python workers, which can import this package."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
