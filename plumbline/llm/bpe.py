@@ -31,13 +31,13 @@ from itertools import chain, islice
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
+from .common import released, small_batches, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # The pattern of byte-level pre-tokenisation.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that are kept with their ids, and the longest of them.
-KEPT_WORDS, KEPT_LENGTH = 500_000, 48
+KEPT_WORDS, KEPT_LENGTH = 250_000, 48
 #: Fragments up to this length are merged by scanning, longer ones with a heap.
 SCANNED = 48
 #: Words that are encoded at a time, and the length from which a text is cut lazily.
@@ -165,6 +165,11 @@ class ForcedBoundaryBPE:
 
         return [text[a:b] for _, (a, b) in pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
 
+    def forget(self) -> None:
+        """Drop the kept words, as a task ends; the worker and this object stay."""
+        self._known.clear()
+        released()
+
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self._pieces(text or "")))
 
@@ -203,6 +208,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         for b in batches:
             ids = [bpe.encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+        bpe.forget()
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
 
@@ -219,6 +225,7 @@ def with_ids(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) ->
         for b in batches:
             ids = pa.array([bpe.encode(t.as_py()) for t in b.column(len(rest))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*rest, "ids"])
+        bpe.forget()
 
     return rows.mapInArrow(run, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest) + ", ids array<int>")
 
@@ -247,6 +254,7 @@ def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = [bpe.digests(t.as_py()) for t in b.column(1)]
             n, ids, text = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contexts
-from .common import share_of, small_batches, staged, table
+from .common import released, share_of, small_batches, staged, table
 
 DEPTH = 3
 #: Documents to learn each language from, about; contexts per depth, at most, for one and for all languages.
@@ -147,6 +147,7 @@ def identified(docs: DataFrame, model: PPM | None, text_col: str = "text") -> Da
             got = model.predict(texts) if model else [(UNKNOWN, 0.0, 0.0)] * len(texts)
             lang, score, bits = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*b.schema.names, *found])
+        released()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, bits_per_byte double"
     return docs.mapInArrow(run, schema)

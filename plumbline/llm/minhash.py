@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, small_batches, staged, table, text_or_empty
+from .common import LOWER, UPPER, released, small_batches, staged, table, text_or_empty
 
 WORDS, BANDS, ROWS = 5, 60, 6
 #: Linked if PART * intersection >= OF * union.
@@ -51,7 +51,7 @@ PART, OF = 100, 75
 #: members of a block. Of pairs at the threshold one in a million has a share under 0.66: 4.7 standard deviations below 0.75.
 LONG_SIGNATURE, CLOSE, BLOCK = 512, 0.66, 512
 #: Shingles whose images are computed together; words whose numbers are kept.
-CHUNK, KEPT_WORDS = 512, 1_000_000
+CHUNK, KEPT_WORDS = 512, 150_000
 #: Keys of rows that are sent to every executor at most (50 bytes each); beyond, both sides are shuffled.
 MOST_SENT = 500_000
 #: Odd multipliers for the places of a shingle's words.
@@ -137,6 +137,8 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 cls.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 keys.append(bands(signature(own)) if len(own) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "same", "n", "cls", "bands"])
+        numbers.clear()
+        released()
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, same binary, n long, cls binary, bands array<long>")
 
@@ -153,6 +155,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
         for b in batches:
             found = [shingles(t.as_py(), numbers).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["c", "numbers"])
+        numbers.clear()
+        released()
 
     sets = staged(rows.select("c", "text").mapInArrow(run, "c long, numbers binary"), "near-sets")
     if not sets.groupBy("c").count().filter("count > 1").isEmpty():  # repeated rows
@@ -162,6 +166,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are alike enough, by their full sets."""
+    small_batches(pairs.sparkSession)
     left = sets.select(F.col("c").alias("a"), F.col("numbers").alias("numbers_a"))
     right = sets.select(F.col("c").alias("b"), F.col("numbers").alias("numbers_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "numbers_a", "numbers_b")
@@ -255,7 +260,7 @@ def close_pairs(placed: DataFrame, sets: DataFrame) -> DataFrame:
     of a bucket to a group of their own, and compared in place, so that no pairs
     are listed that differ. A pair comes from the first bucket that it shares.
     """
-    small_batches(placed.sparkSession, rows=10_000)
+    small_batches(placed.sparkSession)
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y")
     placed = staged(placed.join(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key"), "near-mixed")
 
