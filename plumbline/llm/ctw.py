@@ -10,11 +10,13 @@ that of the mixture's next decisions given the training texts. Texts are UTF-8
 bytes with A-Z lower-cased, after edges and up to an edge (0xFF) that ends them.
 
 Training counts all grams (a context of full depth and its byte) of all training
-texts; the counts are summed by a shuffle and kept in a table. A context has a
-node if it makes up at least one ``KEPT``-th of the training bytes; the bytes
-without a node of their own share one leaf beside their siblings. This share
-holds at any size, bounds the nodes of each depth by ``KEPT``, and so the model
-that is sent to the workers. The end of a text is part of the score.
+texts. Each context that occurs has a node, so the model grows with the corpus;
+no worker and not the driver has it as a whole. Grams are dealt to parts by
+the ``SPLIT`` bytes before the byte, so that a part has whole subtrees; what the
+subtrees weigh is summed for the shorter contexts (at most 256^2, on the driver),
+and these go to the workers. The distinct grams of about ``CHUNK`` bytes of text
+are looked up together: they go to the parts, and their code lengths come back
+to the texts. The end of a text is part of the score.
 
 The base is the sum over words ``[^\x20\x09-\x0D]+`` and one end of
 log10((c+1)/(N+1*(V+1))) with counts of the training documents. Words that make
@@ -43,7 +45,9 @@ from pyspark.sql import functions as F
 from . import contexts
 from .common import share_of, small_batches, staged, table
 
-DEPTH, KEPT = 5, 32768
+DEPTH, SPLIT = 5, 3
+#: Distinct grams of a part, about; parts at least; bytes of text whose grams are looked up together.
+PART, LEAST_PARTS, CHUNK = 100_000, 32, 8 << 20
 #: Words sent to the workers at most, and the bytes of the longest.
 SENT, SENT_BYTES = 1 << 18, 64
 #: Grams and words that a worker gathers before it hands on their counts.
@@ -75,7 +79,7 @@ def _ln_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class CTW:
-    """Code lengths in bits at each node of a tree, from the counts at its nodes."""
+    """Code lengths in bits at each node of a tree in memory, from the counts at its nodes."""
 
     def __init__(self, kept: list[np.ndarray], count: np.ndarray):
         """``count``: how often each byte follows each node's context, without the rests."""
@@ -186,82 +190,260 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return every[first], np.add.reduceat(n, first)
 
 
-def fit(counts: DataFrame, depth: int = DEPTH, kept: int = KEPT) -> CTW:
-    """The model from a table of ``gathered`` counts; only contexts with a node reach the driver."""
+#: Of contexts of one length: (context, place) as sorted numbers, zeros, ones, and the weight of the own estimate.
+Places = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _decided(byte: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place and the bit of a byte's decision."""
+    return (1 << level) | (byte >> (8 - level)), (byte >> (7 - level)) & 1
+
+
+def subtrees(grams: np.ndarray, n: np.ndarray, top: int, depth: int, below: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[dict[int, Places], tuple[np.ndarray, np.ndarray]]:
+    """By length from ``depth`` to ``top`` the places of all contexts that occur; and, for the next shorter ones, (context, place) and ln weight of each child.
+
+    ``below``: the same of the contexts longer than ``depth``, if there are any.
+    """
+    out = {}
+    for d in range(depth, top - 1, -1):
+        gram, at = np.unique(grams & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        times = np.tile(np.bincount(at, weights=n, minlength=len(gram)), 8)
+        steps = [_decided(gram & 255, k) for k in range(8)]
+        key, at = np.unique(np.concatenate([gram >> 8 << 8 | place for place, _ in steps]), return_inverse=True)
+        ones = np.bincount(at, weights=times * np.concatenate([bit for _, bit in steps]), minlength=len(key))
+        zeros = np.bincount(at, weights=times, minlength=len(key)) - ones
+        weighted, stop = _ln_kt(zeros, ones), np.ones(len(key))
+        if below is not None:
+            children = np.bincount(np.searchsorted(key, below[0]), weights=below[1], minlength=len(key))
+            alone = math.log(0.5) + weighted
+            weighted = np.logaddexp(alone, math.log(0.5) + children)
+            stop = np.exp(alone - weighted)
+        out[d] = (key, zeros, ones, stop)
+        below = (key & ((1 << 8 * max(d, 1)) - 1), weighted)
+    return out, below
+
+
+def code_lengths(levels: dict[int, Places], grams: np.ndarray, depth: int) -> np.ndarray:
+    """Bits of each gram's byte after its context."""
+    bits = np.zeros(len(grams))
+    for k in range(8):
+        place, bit = _decided(grams & 255, k)
+        given, left = np.zeros(len(grams)), np.ones(len(grams))
+        for d in range(depth + 1):
+            key, zeros, ones, stop = levels[d]
+            look = ((grams >> 8) & ((1 << 8 * d) - 1)) << 8 | place
+            at = np.minimum(np.searchsorted(key, look), len(key) - 1)
+            there = key[at] == look if len(key) else np.zeros(len(grams), bool)
+            c, total, own = np.zeros(len(grams)), np.zeros(len(grams)), np.full(len(grams), 0.5 if d < depth else 1.0)
+            at = at[there]
+            c[there], total[there], own[there] = np.where(bit[there] > 0, ones[at], zeros[at]), zeros[at] + ones[at], stop[at]
+            given += left * own * (c + 0.5) / (total + 1)
+            left *= 1 - own
+        bits -= np.log2(given)
+    return bits
+
+
+def _part_of(gram, parts: int):
+    """The part of a gram (an array or a column), by the bytes of its context that are nearest."""
+    if isinstance(gram, np.ndarray):
+        return (((gram >> 8) & ((1 << 8 * SPLIT) - 1)) * 0x9E3779B1 % (1 << 32) >> 8) % parts
+    mixed = (F.shiftright(gram, 8).bitwiseAND((1 << 8 * SPLIT) - 1) * F.lit(0x9E3779B1)) % F.lit(1 << 32)
+    return F.shiftright(mixed, 8) % F.lit(parts)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers by places of their bytes, compressed; whole numbers, which are sorted, as differences."""
+    steps = np.diff(x, prepend=0) if x.dtype == np.int64 else x
+    raw = np.ascontiguousarray(steps).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, kind: type = np.int64) -> np.ndarray:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    size = np.dtype(kind).itemsize
+    x = np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+    return np.cumsum(x) if kind is np.int64 else x
+
+
+def _together(arrays: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *arrays])
+
+
+class Finder:
+    """Where numbers are in an array of distinct ones, by tables of hashes; what two tables leave out is searched."""
+
+    FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+    def __init__(self, numbers: np.ndarray):
+        self.numbers, self.tables = numbers, []
+        left = np.arange(len(numbers), dtype=np.int32)
+        for factor in self.FACTORS:
+            bits = max(4, int(len(left)).bit_length() + 2)
+            slots = np.zeros(1 << bits, np.int32)
+            at = self._slot(numbers[left], factor, bits)
+            slots[at] = left
+            self.tables.append((factor, bits, slots))
+            left = left[slots[at] != left]
+        order = np.argsort(numbers[left])
+        self.left, self.sorted = left[order], numbers[left][order]
+
+    @staticmethod
+    def _slot(numbers: np.ndarray, factor: int, bits: int) -> np.ndarray:
+        return ((numbers.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, looked: np.ndarray) -> np.ndarray:
+        """Of numbers that are all there."""
+        out = self.tables[0][2][self._slot(looked, *self.tables[0][:2])]
+        for factor, bits, slots in self.tables[1:]:
+            miss = np.flatnonzero(self.numbers[out] != looked)
+            out[miss] = slots[self._slot(looked[miss], factor, bits)]
+        miss = np.flatnonzero(self.numbers[out] != looked)
+        out[miss] = self.left[np.searchsorted(self.sorted, looked[miss])]
+        return out
+
+
+def _coded(texts: list[bytes]) -> Iterator[tuple[int, list[int], np.ndarray]]:
+    """The number of a first text, how many grams it and the next ones have, and the grams; a long text comes in several parts."""
+    start = 0
+    while start < len(texts):
+        stop, size = start + 1, len(texts[start])
+        while stop < len(texts) and size + len(texts[stop]) <= contexts.TOGETHER:
+            size += len(texts[stop])
+            stop += 1
+        if size <= contexts.TOGETHER:
+            yield start, [len(t) + 1 for t in texts[start:stop]], contexts.grams(texts[start:stop], DEPTH, end=True)
+        else:
+            text = texts[start]
+            for a in range(0, len(text), contexts.TOGETHER):
+                before = text[max(0, a - DEPTH) : a]
+                found = contexts.grams([before + text[a : a + contexts.TOGETHER]], DEPTH, end=a + contexts.TOGETHER >= len(text))[len(before) :]
+                yield start, [len(found)], found
+        start = stop
+
+
+def fit(counts: DataFrame) -> tuple[DataFrame, int, dict[int, Places]]:
+    """From a table of ``gathered`` counts: the parts with their grams, the number of parts, and the places of contexts shorter than ``SPLIT``."""
     grams = counts.filter(F.col("gram").isNotNull()).select("gram", "n")
-    levels = [None] * (depth + 1)
-    contexts_kept, pairs = [np.zeros(0, np.int64)] * depth, []
-    total = None
-    for d in range(depth, -1, -1):
-        # the low byte is the gram's last one; each level is summed from the one below
-        code = F.col("gram").bitwiseAND((1 << 8 * (d + 1)) - 1)
-        levels[d] = staged(grams.select(code.alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n")), f"ctw-{d}")
-        grams = levels[d]
-        if total is None:
-            total = grams.agg(F.sum("n")).first()[0] or 0
-    for d in range(depth, 0, -1):
-        context = F.shiftright("gram", 8)
-        frequent = levels[d].groupBy(context.alias("context")).agg(F.sum("n").alias("m")).filter(F.col("m") * kept >= total).select("context")
-        rows = levels[d].withColumn("context", context).join(F.broadcast(frequent), "context", "left_semi").select("gram", "n").toPandas()
-        pairs.append((d, rows["gram"].to_numpy(), rows["n"].to_numpy()))
-        contexts_kept[d - 1] = np.unique(rows["gram"].to_numpy() >> 8)
-    root = levels[0].toPandas()
-    pairs.append((0, root["gram"].to_numpy(), root["n"].to_numpy()))
-    tree = contexts.Tree(contexts_kept)
-    count = np.zeros((int(tree.first[-1]), 256))
-    for d, gram, n in pairs:
-        count[tree.find(d, gram >> 8), gram & 255] = n
-    return CTW(contexts_kept, count)
+    parts = max(LEAST_PARTS, -(-grams.count() // PART))
+
+    def packed(t: pa.Table) -> pa.Table:
+        gram, n = t["gram"].to_numpy(), t["n"].to_numpy()
+        order = np.argsort(gram)
+        _, (root, weight) = subtrees(gram[order], n[order].astype(float), SPLIT, DEPTH)
+        key, at = np.unique(root, return_inverse=True)
+        weight = np.bincount(at, weights=weight, minlength=len(key))
+        return pa.table({"part": t["part"][:1], "grams": [_packed(gram[order])], "n": [n[order].tobytes()], "roots": [_packed(key)], "weights": [weight.tobytes()]})
+
+    dealt = grams.withColumn("part", _part_of(F.col("gram"), parts)).groupBy("part")
+    dealt = staged(dealt.applyInArrow(packed, "part long, grams binary, n binary, roots binary, weights binary"), "ctw-parts")
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, weight in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_unpacked(key)), pa.array(np.frombuffer(weight))], names=["place", "weight"])
+
+    below = dealt.select("roots", "weights").mapInArrow(roots, "place long, weight double").groupBy("place").agg(F.sum("weight").alias("weight")).toPandas()
+    short = grams.groupBy(F.col("gram").bitwiseAND((1 << 8 * SPLIT) - 1).alias("gram")).agg(F.sum("n").alias("n")).toPandas()
+    top, _ = subtrees(short["gram"].to_numpy(np.int64), short["n"].to_numpy(float), 0, SPLIT - 1, (below["place"].to_numpy(np.int64), below["weight"].to_numpy(float)))
+    return dealt, parts, top
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """``rows`` (rid, id, text) with ``chunk``, drawn by a hash of id and text; about CHUNK bytes have the same."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    drawn = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text")
+    return rows.select(F.pmod(drawn, F.lit(1 + size // CHUNK)).alias("chunk"), "rid", "id", "text")
+
+
+def asked(texts: DataFrame, parts: int) -> DataFrame:
+    """chunk, part, grams: the distinct grams of each chunk by part."""
+
+    def run(b: pa.Table) -> pa.Table:
+        found = [np.unique(grams) for _, _, grams in _coded([contexts.lowered(t) for t in b["text"].to_pylist()])]
+        every = np.unique(np.concatenate(found))
+        part = _part_of(every, parts)
+        order = np.argsort(part, kind="stable")
+        ids, first = np.unique(part[order], return_index=True)
+        return pa.table({"chunk": pa.array([b["chunk"][0].as_py()] * len(ids), pa.int64()), "part": ids, "grams": pa.array([_packed(x) for x in np.split(every[order], first[1:])], pa.binary())})
+
+    return texts.groupBy("chunk").applyInArrow(run, "chunk long, part long, grams binary")
+
+
+def answered(questions: DataFrame, dealt: DataFrame, top: dict[int, Places]) -> DataFrame:
+    """chunk, grams, bits: the code lengths of the grams that the chunks ask for."""
+    shared = questions.sparkSession.sparkContext.broadcast(top)
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        grams = _together([_unpacked(x) for x in own["grams"].to_pylist()])
+        n = _together([np.frombuffer(x, np.int64) for x in own["n"].to_pylist()])
+        levels, _ = subtrees(grams, n.astype(float), SPLIT, DEPTH)
+        blobs = asked["grams"].to_pylist()
+        wanted = [_unpacked(x) for x in blobs]
+        every, at = np.unique(_together(wanted), return_inverse=True)
+        bits = np.concatenate([code_lengths(shared.value | levels, some, DEPTH) for some in np.array_split(every, 1 + len(every) // 100_000)])
+        bits = np.split(bits.astype(np.float32)[at], np.cumsum([len(x) for x in wanted])[:-1]) if wanted else []
+        return pa.table({"chunk": asked["chunk"], "grams": pa.array(blobs, pa.binary()), "bits": pa.array([_packed(x) for x in bits], pa.binary())})
+
+    return dealt.select("part", "grams", "n").groupBy("part").cogroup(questions.groupBy("part")).applyInArrow(run, "chunk long, grams binary, bits binary")
+
+
+def _summed(texts: list[bytes], grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The bits of each text, from those of all its grams."""
+    out, places = np.zeros(len(texts)), Finder(grams)
+    for start, sizes, found in _coded(texts):
+        each = bits[places.find(found)]
+        out[start : start + len(sizes)] += np.add.reduceat(each, np.cumsum([0, *sizes[:-1]]), dtype=np.float64)
+    return out
 
 
 def scored(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     counts = staged(gathered(train, text_col, DEPTH), "ctw-counts")
-    model = fit(counts)
+    dealt, parts, top = fit(counts)
     words = counts.filter(F.col("word").isNotNull()).select("word", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = (F.col("n") * SENT >= total) & (F.length("word") <= SENT_BYTES)
     head = words.filter(often).toPandas()
-    shared = spark.sparkContext.broadcast((model, dict(zip(map(bytes, head["word"]), map(int, head["n"]), strict=True))))
+    shared = spark.sparkContext.broadcast({bytes(w): math.log10(n + 1) for w, n in zip(head["word"], head["n"], strict=True)})
 
-    small_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"rid long, id {rows.schema['id'].dataType.simpleString()}, word binary, n long, n_tokens long, n_known long, logs double, score double, bits_per_byte double"
+    texts = chunked(rows)
+    answers = answered(asked(texts, parts), dealt, top)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(b: pa.Table, answers: pa.Table) -> pa.Table:
         """A row for each document, and one for each of its other words."""
-        model, known = shared.value
-        logs = {w: math.log10(n + 1) for w, n in known.items()}
-        for b in batches:
-            texts = [contexts.lowered(t) for t in b.column(2).to_pylist()]
-            bits = model.bits(texts)
-            rid, n_tokens, n_known, sums = b.column(0).to_pylist(), [], [], []
-            rare_rid, rare_word, rare_n = [], [], []
-            for r, t in zip(rid, texts, strict=True):
-                tokens = Counter(t.split())
-                tokens[b""] = 1
-                n, total = 0, 0.0
-                for w, k in tokens.items():
-                    if (x := logs.get(w)) is not None:
-                        n += k
-                        total += k * x
-                    else:
-                        rare_rid.append(r)
-                        rare_word.append(w)
-                        rare_n.append(k)
-                n_tokens.append(tokens.total())
-                n_known.append(n)
-                sums.append(total)
-            k, m = len(rid), len(rare_rid)
-            none = lambda size, kind: pa.nulls(size, kind)
-            own = [b.column(0), b.column(1), pa.array([b" " + r.to_bytes(8, "big") for r in rid], pa.binary()), none(k, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(-bits * math.log10(2)), pa.array([x / max(1, len(t)) for x, t in zip(bits, texts, strict=True)], pa.float64())]
-            yield pa.RecordBatch.from_arrays(own, names=list(SCORED))
-            rare = [pa.array(rare_rid, pa.int64()), none(m, b.column(1).type), pa.array(rare_word, pa.binary()), pa.array(rare_n, pa.int64()), *(none(m, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays(rare, names=list(SCORED))
+        logs = shared.value
+        grams = _together([_unpacked(x) for x in answers["grams"].to_pylist()])
+        lengths = _together([_unpacked(x, np.float32) for x in answers["bits"].to_pylist()], np.float32)
+        texts = [contexts.lowered(t) for t in b["text"].to_pylist()]
+        bits = _summed(texts, grams, lengths)
+        rid, n_tokens, n_known, sums = b["rid"].to_pylist(), [], [], []
+        rare_rid, rare_word, rare_n = [], [], []
+        for r, t in zip(rid, texts, strict=True):
+            tokens = Counter(t.split())
+            tokens[b""] = 1
+            n, total = 0, 0.0
+            for w, k in tokens.items():
+                if (x := logs.get(w)) is not None:
+                    n += k
+                    total += k * x
+                else:
+                    rare_rid.append(r)
+                    rare_word.append(w)
+                    rare_n.append(k)
+            n_tokens.append(tokens.total())
+            n_known.append(n)
+            sums.append(total)
+        m, ids = len(rare_rid), b["id"].combine_chunks()
+        none = lambda size, kind: pa.nulls(size, kind)
+        own = [b["rid"].combine_chunks(), ids, pa.array([b" " + r.to_bytes(8, "big") for r in rid], pa.binary()), none(len(rid), pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(-bits * math.log10(2)), pa.array([x / max(1, len(t)) for x, t in zip(bits, texts, strict=True)], pa.float64())]
+        rare = [pa.array(rare_rid, pa.int64()), none(m, ids.type), pa.array(rare_word, pa.binary()), pa.array(rare_n, pa.int64()), *(none(m, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
+        return pa.concat_tables([pa.Table.from_arrays(x, names=list(SCORED)) for x in (own, rare)])
 
     # a document's own row has a key that is no word and unlike any other, and so meets nothing
-    out = rows.mapInArrow(run, schema).join(words.filter(~often).withColumnRenamed("n", "c"), "word", "left")
+    out = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema).join(words.filter(~often).withColumnRenamed("n", "c"), "word", "left")
     room = math.log10(total + distinct + 1)
     summed = out.groupBy("rid").agg(
         F.max("id").alias("id"),

@@ -122,3 +122,24 @@ def test_defined_cases(spark, documents):
     assert math.isclose(rows[2]["score"], -8 * 4 * math.log10(2), rel_tol=1e-6)  # a bit for each decision
     rows = ctw.scored(odd, odd).orderBy("id").collect()
     assert [r["n_known"] for r in rows] == [1, 1, 3, 3] and {r["train_tokens"] for r in rows} == {8}
+
+
+def test_long_texts_in_parts_have_the_same_grams(monkeypatch):
+    texts = [b"abcab" * 9, b"", b"bca", b"xyz" * 20, b"a"]
+    grams, n = contexts.counted(texts, ctw.DEPTH, end=True)
+    bits = np.arange(1, len(grams) + 1, dtype=float)
+    whole = ctw._summed(texts, grams, bits)
+    monkeypatch.setattr(contexts, "TOGETHER", 7)
+    assert np.allclose(ctw._summed(texts, grams, bits), whole) and math.isclose(whole.sum(), (bits * n).sum())
+
+
+def test_every_context_of_the_corpus_is_learnt(spark, documents):
+    """The same bits as a tree in memory that has all contexts, however many there are."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    train = [" ".join(word() for _ in range(60)) for _ in range(300)] + ["zyxwvut é zyxwvut"]
+    tests = [*train[::40], "zyxwvut", "", None, "quite other 123", " ".join(train[:5])]
+    got = {r["id"]: r["bits_per_byte"] for r in ctw.scored(documents(tests), documents(train)).collect()}
+    lowered = [contexts.lowered(t) for t in tests]
+    want = model([contexts.lowered(t) for t in train], ctw.DEPTH, 0).bits(lowered)
+    assert np.allclose([got[k] * max(1, len(t)) for k, t in enumerate(lowered)], want, rtol=1e-4)
