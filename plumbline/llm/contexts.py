@@ -11,6 +11,8 @@ UTF-8 never has. A *gram* is a context of the full depth and the byte after it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 EDGE = 0xFF
@@ -48,6 +50,58 @@ def counted(texts: list[bytes], depth: int, end: bool) -> tuple[np.ndarray, np.n
     return np.unique(grams(texts, depth, end), return_counts=True)
 
 
+def coded(texts: list[bytes], depth: int, end: bool) -> Iterator[tuple[int, list[int], np.ndarray]]:
+    """The number of a first text, how many grams it and the next ones have, and the grams; a long text comes in several parts."""
+    start = 0
+    while start < len(texts):
+        stop, size = start + 1, len(texts[start])
+        while stop < len(texts) and size + len(texts[stop]) <= TOGETHER:
+            size += len(texts[stop])
+            stop += 1
+        if size <= TOGETHER:
+            yield start, [len(t) + end for t in texts[start:stop]], grams(texts[start:stop], depth, end)
+        else:
+            text = texts[start]
+            for a in range(0, len(text), TOGETHER):
+                before = text[max(0, a - depth) : a]
+                found = grams([before + text[a : a + TOGETHER]], depth, end and a + TOGETHER >= len(text))[len(before) :]
+                yield start, [len(found)], found
+        start = stop
+
+
+class Finder:
+    """Where numbers are in an array of distinct ones, by tables of hashes; what two tables leave out is searched."""
+
+    FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+    def __init__(self, numbers: np.ndarray):
+        self.numbers, self.tables = numbers, []
+        left = np.arange(len(numbers), dtype=np.int32)
+        for factor in self.FACTORS:
+            bits = max(4, int(len(left)).bit_length() + 2)
+            slots = np.zeros(1 << bits, np.int32)
+            at = self._slot(numbers[left], factor, bits)
+            slots[at] = left
+            self.tables.append((factor, bits, slots))
+            left = left[slots[at] != left]
+        order = np.argsort(numbers[left])
+        self.left, self.sorted = left[order], numbers[left][order]
+
+    @staticmethod
+    def _slot(numbers: np.ndarray, factor: int, bits: int) -> np.ndarray:
+        return ((numbers.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, looked: np.ndarray) -> np.ndarray:
+        """Of numbers that are all there."""
+        out = self.tables[0][2][self._slot(looked, *self.tables[0][:2])]
+        for factor, bits, slots in self.tables[1:]:
+            miss = np.flatnonzero(self.numbers[out] != looked)
+            out[miss] = slots[self._slot(looked[miss], factor, bits)]
+        miss = np.flatnonzero(self.numbers[out] != looked)
+        out[miss] = self.left[np.searchsorted(self.sorted, looked[miss])]
+        return out
+
+
 class Tree:
     """``kept``: for each length from 1 the sorted numbers of the contexts that have a node.
 

@@ -269,58 +269,6 @@ def _together(arrays: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *arrays])
 
 
-class Finder:
-    """Where numbers are in an array of distinct ones, by tables of hashes; what two tables leave out is searched."""
-
-    FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-    def __init__(self, numbers: np.ndarray):
-        self.numbers, self.tables = numbers, []
-        left = np.arange(len(numbers), dtype=np.int32)
-        for factor in self.FACTORS:
-            bits = max(4, int(len(left)).bit_length() + 2)
-            slots = np.zeros(1 << bits, np.int32)
-            at = self._slot(numbers[left], factor, bits)
-            slots[at] = left
-            self.tables.append((factor, bits, slots))
-            left = left[slots[at] != left]
-        order = np.argsort(numbers[left])
-        self.left, self.sorted = left[order], numbers[left][order]
-
-    @staticmethod
-    def _slot(numbers: np.ndarray, factor: int, bits: int) -> np.ndarray:
-        return ((numbers.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def find(self, looked: np.ndarray) -> np.ndarray:
-        """Of numbers that are all there."""
-        out = self.tables[0][2][self._slot(looked, *self.tables[0][:2])]
-        for factor, bits, slots in self.tables[1:]:
-            miss = np.flatnonzero(self.numbers[out] != looked)
-            out[miss] = slots[self._slot(looked[miss], factor, bits)]
-        miss = np.flatnonzero(self.numbers[out] != looked)
-        out[miss] = self.left[np.searchsorted(self.sorted, looked[miss])]
-        return out
-
-
-def _coded(texts: list[bytes]) -> Iterator[tuple[int, list[int], np.ndarray]]:
-    """The number of a first text, how many grams it and the next ones have, and the grams; a long text comes in several parts."""
-    start = 0
-    while start < len(texts):
-        stop, size = start + 1, len(texts[start])
-        while stop < len(texts) and size + len(texts[stop]) <= contexts.TOGETHER:
-            size += len(texts[stop])
-            stop += 1
-        if size <= contexts.TOGETHER:
-            yield start, [len(t) + 1 for t in texts[start:stop]], contexts.grams(texts[start:stop], DEPTH, end=True)
-        else:
-            text = texts[start]
-            for a in range(0, len(text), contexts.TOGETHER):
-                before = text[max(0, a - DEPTH) : a]
-                found = contexts.grams([before + text[a : a + contexts.TOGETHER]], DEPTH, end=a + contexts.TOGETHER >= len(text))[len(before) :]
-                yield start, [len(found)], found
-        start = stop
-
-
 def fit(counts: DataFrame) -> tuple[DataFrame, int, dict[int, Places]]:
     """From a table of ``gathered`` counts: the parts with their grams, the number of parts, and the places of contexts shorter than ``SPLIT``."""
     grams = counts.filter(F.col("gram").isNotNull()).select("gram", "n")
@@ -359,7 +307,7 @@ def asked(texts: DataFrame, parts: int) -> DataFrame:
     """chunk, part, grams: the distinct grams of each chunk by part."""
 
     def run(b: pa.Table) -> pa.Table:
-        found = [np.unique(grams) for _, _, grams in _coded([contexts.lowered(t) for t in b["text"].to_pylist()])]
+        found = [np.unique(grams) for _, _, grams in contexts.coded([contexts.lowered(t) for t in b["text"].to_pylist()], DEPTH, end=True)]
         every = np.unique(np.concatenate(found))
         part = _part_of(every, parts)
         order = np.argsort(part, kind="stable")
@@ -389,8 +337,8 @@ def answered(questions: DataFrame, dealt: DataFrame, top: dict[int, Places]) ->
 
 def _summed(texts: list[bytes], grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """The bits of each text, from those of all its grams."""
-    out, places = np.zeros(len(texts)), Finder(grams)
-    for start, sizes, found in _coded(texts):
+    out, places = np.zeros(len(texts)), contexts.Finder(grams)
+    for start, sizes, found in contexts.coded(texts, DEPTH, end=True):
         each = bits[places.find(found)]
         out[start : start + len(sizes)] += np.add.reduceat(each, np.cumsum([0, *sizes[:-1]]), dtype=np.float64)
     return out

@@ -11,9 +11,11 @@ beforehand, 2^-length normalised over the languages.
 
 Training reads texts with a non-null language whose crc32(id) mod ``parts`` is
 not 0. Of each language about ``sample`` documents are taken by a hash of the
-id (a documented bound of the classifier); their whole texts count. Contexts
-have a node if they make up one ``kept``-th of the sample; this and the number
-of languages bound the model that is sent to the workers.
+id (a documented bound of the classifier); their whole texts count. Each language
+has a tree of its own with every context of its sample, whatever the number of
+the others; the model sent to the workers grows with the number of languages, by
+the distinct grams of a sample. Only these are stored; the costs of a batch are
+found for its distinct grams.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0;
 without any training text so is every document; ties go to the language that
@@ -37,8 +39,10 @@ from . import contexts
 from .common import released, share_of, small_batches, staged, table
 
 DEPTH = 3
-#: Documents to learn each language from, about; contexts per depth, at most, for one and for all languages.
-SAMPLE, KEPT, KEPT_IN_ALL = 1000, 4096, 16384
+#: Documents to learn each language from, about.
+SAMPLE = 1000
+#: Contexts per depth of a tree shared by languages (``PPM``), at most, for one and for all; ``Grams`` has no such bound.
+KEPT, KEPT_IN_ALL = 4096, 16384
 #: A byte of a known language in its scripts costs 1 to 5 bits, random digits and letters up to 10, one that was never seen over 15.
 MOST_BITS = 12
 #: Languages whose sampled parts are sent to every executor at most; beyond, texts are shuffled by language.
@@ -65,7 +69,7 @@ def gram_counts(rows: DataFrame, depth: int) -> DataFrame:
 
 
 class PPM:
-    """Code lengths in bits by language, from counts of grams."""
+    """Code lengths in bits by language, from counts of grams, in one tree of the contexts frequent in all languages."""
 
     def __init__(self, langs: list[str], grams: list[np.ndarray], n: list[np.ndarray], depth: int = DEPTH, kept: int = KEPT):
         self.langs = langs
@@ -115,7 +119,73 @@ class PPM:
         return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 5, sample: int = SAMPLE) -> PPM | None:
+class Grams(PPM):
+    """Code lengths in bits by language, from all contexts of each language."""
+
+    def __init__(self, langs: list[str], grams: list[np.ndarray], n: list[np.ndarray], depth: int = DEPTH):
+        self.langs, self.depth = langs, depth
+        self.levels = [[self._level(g, x, d) for d in range(depth + 1)] for g, x in zip(grams, n, strict=True)]
+
+    @staticmethod
+    def _level(grams: np.ndarray, n: np.ndarray, d: int) -> tuple[np.ndarray, ...]:
+        """Contexts of one length: their grams and log2 of the counts; the contexts, and log2 of what is divided by there,
+        of an escape's share, and with the bytes excluded, of what is divided by in the shorter context, and of its escape's share."""
+        gram, at = np.unique(grams & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        count = np.bincount(at, weights=n, minlength=len(gram))
+        context, at = np.unique(gram >> 8, return_inverse=True)
+        total, kinds = np.bincount(at, weights=count), np.bincount(at)
+        out = gram, np.log2(count), context, np.log2(total + kinds), np.log2(total + kinds) - np.log2(kinds)
+        if not d:
+            return (*out, np.zeros(1), np.full(1, np.log2(max(256 - kinds[0], 1))))
+        shorter, to = np.unique(grams & ((1 << 8 * d) - 1), return_inverse=True)
+        count = np.bincount(to, weights=n, minlength=len(shorter))
+        above, to = np.unique(shorter >> 8, return_inverse=True)
+        up = np.searchsorted(above, context & ((1 << 8 * (d - 1)) - 1))
+        new = np.bincount(to)[up] - kinds
+        same = count[np.searchsorted(shorter, gram & ((1 << 8 * d) - 1))]
+        room = np.bincount(to, weights=count)[up] - np.bincount(at, weights=same) + new
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (*out, np.where(new > 0, np.log2(room), 0), np.where(new > 0, np.log2(room / new), 0))
+
+    def costs(self, lang: int, grams: np.ndarray) -> np.ndarray:
+        """Bits of each gram's byte after its context."""
+        out = np.zeros(len(grams))
+        open_, node = np.arange(len(grams)), np.full(len(grams), -1)  # what isn't found yet, and its node in the longer context
+        longer = None
+        for d in range(self.depth, -1, -1):
+            gram, logs, context, whole, escape, *_ = self.levels[lang][d]
+            g = grams[open_] & ((1 << 8 * (d + 1)) - 1)
+            at = np.minimum(np.searchsorted(context, g >> 8), len(context) - 1)
+            there = context[at] == g >> 8
+            k = np.minimum(np.searchsorted(gram, g), len(gram) - 1)
+            seen = gram[k] == g
+            first = there & (node < 0)
+            out[open_] += np.where(first, np.where(seen, whole[at] - logs[k], escape[at]), 0)
+            later = node >= 0
+            if longer is not None:
+                out[open_[later]] += np.where(seen[later], longer[5][node[later]] - logs[k[later]], longer[6][node[later]])
+            longer, node = self.levels[lang][d], np.where(there, at, -1)[~seen]
+            open_ = open_[~seen]
+        out[open_] += longer[6][0]
+        return out
+
+    def bits(self, texts: list[str | None]) -> np.ndarray:
+        """Code lengths of texts (rows) in languages (columns)."""
+        out = np.zeros((len(texts), len(self.langs)))
+        for start, sizes, found in contexts.coded([contexts.lowered(t) for t in texts], self.depth, end=False):
+            if not len(found):
+                continue
+            grams = np.sort(found)
+            grams = grams[np.concatenate([[True], grams[1:] != grams[:-1]])]
+            at = contexts.Finder(grams).find(found)
+            stops = np.cumsum([0, *sizes])
+            for k in range(len(self.langs)):
+                sums = np.concatenate([np.zeros(1), np.cumsum(self.costs(k, grams)[at])])
+                out[start : start + len(sizes), k] += sums[stops[1:]] - sums[stops[:-1]]
+        return out
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 5, sample: int = SAMPLE) -> Grams | None:
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     known = known.filter(F.col("lang").isNotNull() & (share_of("id", parts) != 0))
     sizes = known.groupBy("lang").count()
@@ -128,10 +198,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if counts.empty:
         return None
     groups = [(lang, g) for lang, g in counts.sort_values(["lang", "gram"]).groupby("lang")]
-    return PPM([x for x, _ in groups], [g["gram"].to_numpy() for _, g in groups], [g["n"].to_numpy().astype(float) for _, g in groups])
+    return Grams([x for x, _ in groups], [g["gram"].to_numpy() for _, g in groups], [g["n"].to_numpy().astype(float) for _, g in groups])
 
 
-def identified(docs: DataFrame, model: PPM | None, text_col: str = "text") -> DataFrame:
+def identified(docs: DataFrame, model: Grams | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``bits_per_byte`` added (columns of these names are replaced)."""
     spark = docs.sparkSession
     small_batches(spark)

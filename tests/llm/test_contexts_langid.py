@@ -108,3 +108,30 @@ def test_cells_follow_each_text_alone(end):
     cost = np.arange(tree.nodes * 256, dtype=float)
     alone = [tree.summed([t], cost, end)[0] for t in texts]
     assert np.allclose(tree.summed(texts, cost, end), alone)
+
+
+@pytest.mark.parametrize("others", [1, 300])
+def test_each_language_keeps_all_its_contexts(others, monkeypatch):
+    """The model that is fitted has the code lengths of brute force, however many other languages there are."""
+    rng = random.Random(6)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n)).encode()
+    trained = {"a": [make("aab cdz", 80) for _ in range(4)], "b": [make("bcd ", 60) for _ in range(3)]}
+    trained |= {f"x{k}": [make("xyz ", 20)] for k in range(others)}
+    got = [contexts.counted(texts, 3, end=False) for texts in trained.values()]
+    ppm = langid.Grams(list(trained), [g for g, _ in got], [n.astype(float) for _, n in got])
+    tests = [b"", b"a", b"abc abc dd", "zzz é".encode(), make("abcd z", 50)]
+    want = [[brute_bits(trained[k], t, 3) for k in "ab"] for t in tests]
+    assert np.allclose(ppm.bits([t.decode() for t in tests])[:, :2], want)
+    monkeypatch.setattr(contexts, "TOGETHER", 7)  # long texts in parts
+    assert np.allclose(ppm.bits([t.decode() for t in tests])[:, :2], want)
+
+
+def test_stray_labels_change_no_code_length(spark, documents):
+    """The fitted model's bits per byte of a language, alone and beside 70 stray labels."""
+    rng = random.Random(9)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(80))
+    rows = [(k, make("abcdefghijklm"), "en") for k in range(20)]
+    strays = [(100 + k, make("0123456789xyz"), f"s{k % 70}") for k in range(280)]
+    alone, beside = (langid.fit(documents(x)) for x in (rows, rows + strays))
+    text = make("abcdefghijklm")
+    assert np.isclose(alone.bits([text])[0, 0], beside.bits([text])[0, beside.langs.index("en")])
