@@ -56,3 +56,17 @@ def test_whole_table_matches_sql(spark):
     want = con.execute(f"SELECT doc_id, whole_licence, n_licence_lines, licences, canonical_md5 FROM ({licences.OP3_SQL}) ORDER BY doc_id").fetchall()
     got = [tuple(r) for r in licences.op3_licences(spark, SF).orderBy("doc_id").collect()]
     assert got == want and sum(r[2] for r in got) > 5
+
+
+def test_full_texts_and_runs_of_lines(spark, documents, known):
+    """Whole licences, and licences and headers inside a document, also with other line breaks."""
+    read = lambda name: (licences.FULL_TEXTS / f"{name}.txt").read_text()
+    whole = ["MIT", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0"]
+    header = read("Apache-2.0+header")
+    docs = [read(name) for name in whole]
+    docs += ["intro\nCopyright 2020 me\n\n" + read("MIT") + "\nmore", "# a file\n" + " ".join(header.split()) + "\ncode", "x\n" + header.replace(" you ", "\nyou\n") + "y", "x\n" + header.replace("WARRANTIES", "PROMISES")]
+    got = {r["id"]: r for r in licences.scan_licences(documents(docs), known).collect()}
+    assert [got[k]["whole_licence"] for k in range(6)] == whole
+    assert [name in got[k]["licences"].split(",") for k, name in enumerate(whole)] == [True] * 6
+    assert [got[k]["licences"] for k in range(6, 10)] == ["MIT", "Apache-2.0", "Apache-2.0", ""]
+    assert got[6]["whole_licence"] is None and got[6]["n_licence_lines"] == 0
