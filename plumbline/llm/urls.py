@@ -5,8 +5,8 @@ A-Z lower-cased; the path goes on up to ``?``, ``#`` or the end. A rule (host,
 path) fits its host and all subdomains where the url's path starts with the
 rule's; of the fitting rules the longest decides.
 
-URLs that no rule decides are judged by two variable-order Markov models of
-host and path, one of the URLs that rules accept, one of those that rules
+URLs that no rule decides are judged by two variable-order Markov models of the
+whole URL (scheme and host lower-cased, with query and fragment), one of the URLs that rules accept, one of those that rules
 block. Each byte's probability is smoothed down to the empty context by the
 number of distinct bytes that follow a context (Witten-Bell), contexts of up to
 ``DEPTH`` bytes have a node if they make up one ``KEPT``-th of the sample. The
@@ -52,15 +52,18 @@ def fits(rule: tuple[str, str, bool], host: Column, path: Column) -> Column:
 
 
 def ruled(pages: DataFrame, rules: list[tuple[str, str, bool]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Per row: id, host, path, rule, allowed (null where no rule fits)."""
+    """Per row: id, host, path, rule, allowed (null where no rule fits), url (whole, scheme and host lower-cased)."""
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"))
     host, path = parted(F.col("url"))
-    rows = rows.select("id", host.alias("host"), path.alias("path"))
+    scheme = F.substring_index("url", "://", 1)
+    whole = F.concat(ascii_lower(scheme), F.lit("://"), host, F.substr(F.col("url"), F.length(scheme) + 4 + F.length(host)))
+    whole = F.when(F.contains(F.col("url"), F.lit("://")), whole).otherwise(F.col("url"))
+    rows = rows.select("id", host.alias("host"), path.alias("path"), whole.alias("url"))
     rule, allowed = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     for r in sorted(rules, key=lambda r: len(r[0] + r[1])):  # a longer one that fits overrides
         hit = fits(r, F.col("host"), F.col("path"))
         rule, allowed = F.when(hit, r[0] + r[1]).otherwise(rule), F.when(hit, F.lit(r[2])).otherwise(allowed)
-    return rows.select("id", "host", "path", rule.alias("rule"), allowed.alias("allowed"))
+    return rows.select("id", "host", "path", rule.alias("rule"), allowed.alias("allowed"), "url")
 
 
 class Ratio:
@@ -103,8 +106,8 @@ class Ratio:
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> Ratio | None:
-    """From rows with host, path and allowed."""
-    known = rows.filter(F.col("allowed").isNotNull()).select(F.concat("host", "path").alias("url"), "allowed")
+    """From rows with url and allowed."""
+    known = rows.filter(F.col("allowed").isNotNull()).select("url", "allowed")
     sizes = dict(known.groupBy("allowed").count().collect())
     if len(sizes) < 2:
         return None
@@ -130,17 +133,17 @@ def judged(rows: DataFrame, model: Ratio | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            host, path, allowed = (b.column(k).to_pylist() for k in (1, 2, 4))
+            host, allowed, url = (b.column(k).to_pylist() for k in (1, 4, 5))
             if model is None or not host:
                 ratio = np.zeros(len(host))
             else:
-                ratio = model.ratios([(h + p).encode() for h, p in zip(host, path, strict=True)])
+                ratio = model.ratios([u.encode() for u in url])
             limit = model.threshold if model else 0.0
             own = (bool(h) and r >= limit for h, r in zip(host, ratio, strict=True))
             verdict = ["allow" if (o if a is None else a) else "block" for a, o in zip(allowed, own, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ratio, pa.float64()), pa.array(verdict, pa.string())], names=[*b.schema.names, "ratio", "verdict"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, rule string, allowed boolean, ratio double, verdict string")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, rule string, allowed boolean, url string, ratio double, verdict string")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,12 @@ def test_defined_cases(spark, pages):
     assert urls.fit(empty) is None and urls.judged(empty, None).count() == 0
     one = spark.createDataFrame([(None, "http://a.com/", 1, 2)] * 2, "page_id long, url string, id int, host int")
     assert [r["verdict"] for r in urls.judged(urls.ruled(one), None).collect()] == ["allow"] * 2
+
+
+def test_queries_and_fragments_are_judged(spark):
+    rows = [(k, f"http://a{k}.bet.net/?win=casino{k}#cash") for k in range(60)] + [(k + 100, f"http://a{k}.example.net/en/?news=daily{k}#text") for k in range(60)]
+    rows += [(200, "HTTP://Q.info/?win=casino77#cash"), (201, "http://q.info/?news=daily77#text")]
+    found = urls.ruled(spark.createDataFrame(rows, "page_id long, url string"))
+    got = {r["id"]: r for r in urls.judged(found, urls.fit(found)).collect()}
+    assert (got[200]["verdict"], got[201]["verdict"]) == ("block", "allow")
+    assert got[200]["url"] == "http://q.info/?win=casino77#cash"
