@@ -288,7 +288,7 @@ def _checks(spark, sf_dir):
     return {
         "srm": abtest.one_row(spark, validation.check_srm_frame(rows)),
         "aa_summary": abtest.one_row(spark, validation.simulate_aa_frame(rows)[0]),
-        "bootstrap_summary": abtest.one_row(spark, validation.bootstrap_frame(rows, iterations=2000)[0]),
+        "bootstrap_summary": abtest.one_row(spark, validation.bootstrap_frame(rows)[0]),
     }
 
 

@@ -100,3 +100,11 @@ def test_queries_match_sql(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 150
     assert set(oracles.ORACLES) <= set(catalog.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_validation_summary_has_the_interval_of_the_bootstrap(spark):
+    folder = "/root/testdata/sf0.001"
+    row = catalog.QUERIES["validation_summary_row"](spark, folder).first()
+    own = catalog.QUERIES["bootstrap_summary"](spark, folder).first()
+    assert row["bootstrap_iterations"] == own["iterations"] == 10_000
+    assert (row["bootstrap_ci_lower"], row["bootstrap_ci_upper"]) == (own["ci_lower"], own["ci_upper"])
