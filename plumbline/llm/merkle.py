@@ -3,7 +3,11 @@ r"""Document fingerprints: a Merkle tree over sections, paragraphs and sentences
 A section ends with a blank line, a paragraph with a line break, a sentence with
 ``.``, ``!`` or ``?`` and blanks; separators belong to what they end, so the
 parts of a text laid end to end are the text. A sentence over ``LONG`` code
-points is cut behind words whose checksum is a multiple of ``EVERY``. Leaves are
+points is cut behind words whose checksum is a multiple of ``EVERY``, and its
+words over ``LONG_WORD`` code points (Chinese, Thai, base64) where the checksum
+of the last ``ROLLED`` code points is one of ``EVERY_POINT``. A sentence of up to
+``LONG`` code points is one leaf: of texts that have no more, a part that is
+replaced leaves a likeness of 0. Leaves are
 digests of the sentences' bytes; a node is a digest of its kind and of its
 children's digests.
 
@@ -42,6 +46,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, text_or_empty
 
 LONG, EVERY = 300, 8
+LONG_WORD, ROLLED, EVERY_POINT = 64, 8, 32
 BLANK_LINES = re.compile(r"\n(?:[^\S\n]*+\n)++")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 WORD = re.compile(r"\S+\s*|\s+")
@@ -58,6 +63,18 @@ def _cut(text: str, ends: re.Pattern) -> list[str]:
     return parts
 
 
+def _pieces(word: str) -> list[str]:
+    """A long word cut by its content, into parts of ``ROLLED`` code points at least."""
+    if len(word) <= LONG_WORD:
+        return [word]
+    parts, at = [], 0
+    for k in range(ROLLED, len(word) - ROLLED + 1):
+        if k - at >= ROLLED and crc32(word[k - ROLLED : k].encode()) % EVERY_POINT == 0:
+            parts.append(word[at:k])
+            at = k
+    return [*parts, word[at:]]
+
+
 def _leaves(paragraph: str) -> list[str]:
     out = []
     for sentence in _cut(paragraph, SENTENCE):
@@ -66,6 +83,10 @@ def _leaves(paragraph: str) -> list[str]:
             continue
         part = []
         for word in WORD.findall(sentence):
+            *cut, word = _pieces(word)
+            for piece in cut:
+                out.append("".join([*part, piece]))
+                part = []
             part.append(word)
             if crc32(word.encode()) % EVERY == 0:
                 out.append("".join(part))

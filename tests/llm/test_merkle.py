@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pyarrow.parquet as pq
 from hypothesis import given, settings
@@ -74,3 +75,13 @@ def test_defined_cases(spark, documents):
     by = {r["id"]: r for r in rows}
     assert by[None]["edited_sha256"] == hashlib.sha256(b"lasa").hexdigest()  # the first row follows the last
     assert by[2]["near_edited"] == 1
+
+
+def test_long_runs_without_blanks_are_cut_by_content():
+    rng = random.Random(2)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000))
+    other = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1000))
+    edited = text[:1000] + other + text[2000:]
+    assert "".join(leaf for s in merkle.tree(text) for p in s for leaf in p) == text
+    assert 0.5 < merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(edited)) < 0.8
+    assert merkle.likeness(merkle.fingerprint(text), merkle.fingerprint("x" + text)) > 0.9
