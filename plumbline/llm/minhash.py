@@ -18,11 +18,15 @@ copies cost a partial aggregate; everything after handles one row per class.
 *Links.* Not all pairs of a bucket are compared, only what connects it. First
 each class is compared with the least class of a bucket, the one it meets most
 often; components are found; then the classes of each bucket with the bucket's
-least class where their components differ; last, those pairs of a bucket whose
+least class where their components differ; last, those classes of a bucket whose
 components still differ, whose sizes allow the similarity and whose signatures
-come close to it. So a component of n close copies takes about n comparisons,
-and links between components are found as surely as buckets find them. All
-comparisons that make a link are exact, on the full sets.
+come close to it. These are compared where the bucket is: a bucket is dealt in
+blocks, every two blocks meet in a group, and the group lists its members that
+have someone to be compared with, gets their full sets, and gives back no more
+links than connect it. So rows grow with members, not with pairs, even where
+very many texts are just below the threshold; the comparisons in memory are the
+square of such a bucket. All comparisons that make a link are exact, on the full
+sets. Later rounds only join the components of earlier ones.
 
 Defined cases: a document without words (or with a null text) has an empty set,
 is linked with nothing and kept; repeated rows belong to one class and are marked
@@ -47,9 +51,11 @@ from .common import LOWER, UPPER, released, small_batches, staged, table, text_o
 WORDS, BANDS, ROWS = 5, 60, 6
 #: Linked if PART * intersection >= OF * union.
 PART, OF = 100, 75
-#: Coordinates (a byte of each) that decide which pairs are compared exactly at last, the share of them that must be equal, and the
-#: members of a block. Of pairs at the threshold one in a million has a share under 0.66: 4.7 standard deviations below 0.75.
-LONG_SIGNATURE, CLOSE, BLOCK = 512, 0.66, 512
+#: Coordinates (a byte of each) that decide which pairs are compared exactly at last, and the share of them that must be equal.
+#: Of pairs at the threshold one in a million has a share under 0.66: 4.7 standard deviations below 0.75.
+LONG_SIGNATURE, CLOSE = 512, 0.66
+#: Members and shingles of a block, about.
+BLOCK, BLOCK_SHINGLES = 512, 2 << 20
 #: Shingles whose images are computed together; words whose numbers are kept.
 CHUNK, KEPT_WORDS = 512, 150_000
 #: Keys of rows that are sent to every executor at most (50 bytes each); beyond, both sides are shuffled.
@@ -203,7 +209,7 @@ def components(links: DataFrame) -> DataFrame:
     mark = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
     seen = edges.agg(*mark).first()
-    while True:
+    while seen[0]:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -214,8 +220,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = staged(small, "near-edges")
         now = edges.agg(*mark).first()
         if now == seen:
-            return staged(edges.select(F.col("a").alias("c"), F.col("b").alias("comp")).union(edges.select("b", "b").distinct()), "near-comps")
+            break
         seen = now
+    return staged(edges.select(F.col("a").alias("c"), F.col("b").alias("comp")).union(edges.select("b", "b").distinct()), "near-comps")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,17 +240,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     met = members.filter("c <> center").groupBy("c", "center").agg(F.count(F.lit(1)).alias("times"))
     best = met.groupBy("c").agg(F.max(F.struct("times", (-F.col("center")).alias("near"))).alias("x")).select(F.col("c").alias("a"), (-F.col("x.near")).alias("b"))
-    links = linked(best, sets)
-    comps = components(links)
+    comps = components(linked(best, sets))
 
     placed = staged(_placed(members, comps), "near-placed")
     ends = placed.join(comps.select(F.col("c").alias("center"), F.col("comp").alias("center_comp")), "center", "left").withColumn("center_comp", F.coalesce("center_comp", "center"))
     more = linked(ends.filter("comp <> center_comp").select(F.col("c").alias("a"), F.col("center").alias("b")).distinct(), sets)
-    links = links.union(more)
-    comps = components(links)
-
-    last = linked(close_pairs(_placed(members, comps), sets), sets)
-    comps = components(links.union(last))
+    comps = joined_components(comps, more)
+    comps = joined_components(comps, close_links(_placed(members, comps), sets))
 
     ids = classes.select("c", "cls", "id").join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     least = ids.groupBy("comp").agg(F.min("id").alias("component_id"))
@@ -252,17 +255,30 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select("id", "same", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def close_pairs(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of unlike components that meet in a bucket and whose long signatures are ``CLOSE`` or more alike.
+def joined_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (c, comp) after ``links`` (a, b) between classes have joined some of them."""
+    ends = links
+    for end in ("a", "b"):
+        top = comps.select(F.col("c").alias(end), F.col("comp").alias("top"))
+        ends = ends.join(top, end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
+    tops = components(ends).select(F.col("c").alias("comp"), F.col("comp").alias("top"))
+    moved = comps.join(tops, "comp", "left").select("c", F.coalesce("top", "comp").alias("comp"))
+    single = tops.select(F.col("comp").alias("c"), F.col("top").alias("comp")).join(comps.select("c"), "c", "left_anti")
+    return staged(moved.union(single), "near-comps")
+
+
+def close_candidates(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, i, j, c, comp, partners: by group (two blocks of a bucket) the classes that are to be compared exactly.
 
     ``placed`` has key, band, c, n, comp. Buckets of a single component are done.
-    The others are dealt in blocks of about ``BLOCK`` members, every two blocks
-    of a bucket to a group of their own, and compared in place, so that no pairs
-    are listed that differ. A pair comes from the first bucket that it shares.
+    ``partners`` are the classes of other components (8 bytes each) whose long
+    signatures are ``CLOSE`` or more alike; each pair is with one of its ends, in the
+    group of the first bucket that it shares. A class has one row in a group.
     """
     small_batches(placed.sparkSession)
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y")
-    placed = staged(placed.join(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key"), "near-mixed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("x <> y")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    placed = staged(placed.join(mixed.select("key", blocks.alias("blocks")), "key"), "near-mixed")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,36 +293,43 @@ def close_pairs(placed: DataFrame, sets: DataFrame) -> DataFrame:
     rows = dealt.join(staged(signs, "near-signs"), "c").select("key", "i", "j", "block", "band", "c", "n", "comp", "sig")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
+    def read(b: pa.RecordBatch) -> list[np.ndarray]:
+        cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)]
+        return [*cols, np.frombuffer(b"".join(x.as_py() for x in b.column(8)), np.uint8).reshape(-1, LONG_SIGNATURE + 8 * BANDS)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)]
-            cols.append(np.frombuffer(b"".join(x.as_py() for x in b.column(8)), np.uint8).reshape(-1, LONG_SIGNATURE + 8 * BANDS))
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
-            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols[:3]], axis=0)) + 1
-            edges = [0, *cuts.tolist()]
-            out = [_close_in_group([x[p:q] for x in cols]) for p, q in zip(edges, edges[1:], strict=False)]
-            kept = [x[edges[-1] :] for x in cols]
-            yield _pair_batch(out)
-        if kept is not None:
-            yield _pair_batch([_close_in_group(kept)])
+        for cols in _groups(batches, read):
+            yield from _close_in_group(cols)
+        released()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "key long, i int, j int, c long, comp long, partners binary")
 
 
-def _pair_batch(found: list[list[tuple[int, int]]]) -> pa.RecordBatch:
-    pairs = [p for x in found for p in x]
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def _groups(batches: Iterator[pa.RecordBatch], read) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of rows with equal first three columns."""
+    kept = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = read(b)
+        if kept is not None:
+            cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols[:3]], axis=0)) + 1
+        edges = [0, *cuts.tolist()]
+        for p, q in zip(edges, edges[1:], strict=False):
+            yield [x[p:q] for x in cols]
+        kept = [x[edges[-1] :] for x in cols]
+    if kept is not None:
+        yield kept
 
 
-def _close_in_group(cols: list[np.ndarray]) -> list[tuple[int, int]]:
+def _close_in_group(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Two blocks of a bucket: key, i, j, block, band, c, n, comp, sig."""
-    _, i, j, block, band, c, n, comp, sig = cols
-    if not len(c) or (comp == comp[0]).all():
-        return []
+    key, i, j, block, band, c, n, comp, sig = cols
+    if (comp == comp[0]).all():
+        return
     sig, keys = sig[:, :LONG_SIGNATURE], np.ascontiguousarray(sig[:, LONG_SIGNATURE:]).view(np.int64)
-    out = []
+    partners: dict[int, bytes] = {}
     for k in range(len(c)):
         # inside a block each pair once, between two blocks the first with the second
         if i[0] != j[0] and block[k] != i[0]:
@@ -317,10 +340,64 @@ def _close_in_group(cols: list[np.ndarray]) -> list[tuple[int, int]]:
         if not len(other):
             continue
         other = other[(sig[other] == sig[k]).sum(1) >= CLOSE * LONG_SIGNATURE]
-        first = (keys[other] == keys[k]).argmax(1)
-        for x in other[first == band[k]]:
-            out.append((int(min(c[k], c[x])), int(max(c[k], c[x]))))
-    return out
+        other = other[(keys[other] == keys[k]).argmax(1) == band[k]]
+        if len(other):
+            partners[k] = c[other].tobytes()
+            for x in other.tolist():
+                partners.setdefault(x, b"")
+    if partners:
+        at = sorted(partners)
+        m = len(at)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[:m], pa.int64()), pa.array(i[:m].astype(np.int32)), pa.array(j[:m].astype(np.int32)), pa.array(c[at]), pa.array(comp[at]), pa.array([partners[k] for k in at], pa.binary())],
+            names=["key", "i", "j", "c", "comp", "partners"],
+        )
+
+
+def close_links(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect classes of unlike components of a bucket; of each group no more than join its components."""
+    found = staged(close_candidates(placed, sets), "near-close")
+    rows = found.join(sets, "c").select("key", "i", "j", "c", "comp", "partners", "numbers")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
+
+    def read(b: pa.RecordBatch) -> list[np.ndarray]:
+        cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+        for k in (5, 6):
+            held = np.empty(b.num_rows, object)
+            held[:] = b.column(k).to_pylist()
+            cols.append(held)
+        return cols
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, read):
+            links = _links_in_group(*group[3:])
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
+        released()
+
+    return staged(rows.mapInArrow(run, "a long, b long"), "near-links")
+
+
+def _links_in_group(c: np.ndarray, comp: np.ndarray, partners: np.ndarray, numbers: np.ndarray) -> list[tuple[int, int]]:
+    """Exact comparisons of those that nothing connects yet."""
+    place = {x: k for k, x in enumerate(c.tolist())}
+    up = {x: x for x in comp.tolist()}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    sets = [np.frombuffer(x, np.uint64) for x in numbers]
+    links = []
+    for k, those in enumerate(partners):
+        for x in np.frombuffer(those, np.int64).tolist():
+            a, b = top(int(comp[k])), top(int(comp[place[x]]))
+            if a != b and alike(sets[k], sets[place[x]]):
+                up[max(a, b)] = min(a, b)
+                links.append((int(c[k]), x))
+    return links
 
 
 def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:

@@ -142,7 +142,48 @@ def test_close_pairs_come_once(spark):
     keys = [minhash.bands(minhash.signature(s)) for s in sets]
     placed = spark.createDataFrame([(int(x), b, k, 200, k // 2) for k, own in enumerate(keys) for b, x in enumerate(own)], "key long, band int, c long, n long, comp long")
     table = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "c long, numbers binary")
-    got = [(r["a"], r["b"]) for r in minhash.close_pairs(placed, table).collect()]
+    rows = minhash.close_candidates(placed, table).collect()
+    got = [tuple(sorted((r["c"], int(x)))) for r in rows for x in np.frombuffer(r["partners"], np.int64)]
+    assert len({(r["key"], r["i"], r["j"], r["c"]) for r in rows}) == len(rows)
     long = [minhash.signature(s, minhash.LONG_SIGNATURE).astype(np.uint8) for s in sets]
     want = {(a, b) for b in range(40) for a in range(b) if a // 2 != b // 2 and (keys[a] == keys[b]).any() and np.mean(long[a] == long[b]) >= minhash.CLOSE}
     assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_rows_grow_with_the_texts_just_below_the_threshold(spark, documents, monkeypatch):
+    """Texts that are 0.7 alike in pairs: nearly all pairs are compared, but rows are listed by text."""
+    listed = []
+    whole = minhash.close_candidates
+
+    def counted(*args):
+        found = minhash.staged(whole(*args), "counted")
+        listed.append((found.count(), found.selectExpr("sum(length(partners) DIV 8)").first()[0]))
+        return found
+
+    monkeypatch.setattr(minhash, "close_candidates", counted)
+    most = len(range(minhash.BANDS))
+    for n in (60, 240):
+        rng = random.Random(5)
+        rows = [(k, " ".join([f"s{w}" for w in range(104)] + [f"o{rng.randrange(10**9)}" for _ in range(20)])) for k in range(n)]
+        got = minhash.near_classes(documents(rows)).collect()
+        assert len(got) == n and all(r["kept"] and r["n_shingles"] == 120 for r in got)
+    (rows_few, pairs_few), (rows_many, pairs_many) = listed
+    assert pairs_few > 1200 and pairs_many > 20_000  # of 1770 and of 28680
+    assert rows_many <= 6 * rows_few and rows_many <= most * 240
+
+
+def test_recall_of_links_near_the_threshold(spark, documents):
+    """200 pairs of 0.75 to 0.80 that nothing else connects: all are found, and none of as many pairs of 0.70 to 0.75."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k in range(400):
+        new = rng.randrange(12, 15) if k % 2 else rng.randrange(15, 19)
+        words = [f"p{k}w{w}" for w in range(104)]
+        other = words[: 104 - new] + [f"p{k}n{w}" for w in range(new)]
+        same, size = 100 - new, 100
+        linked = 100 * same >= 75 * (2 * size - same)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if linked else 2 * k + 1}
+    got = {r["id"]: r["component_id"] for r in minhash.near_classes(documents(rows)).collect()}
+    assert sum(want[2 * k + 1] == 2 * k for k in range(400)) >= 190
+    assert got == want
