@@ -63,3 +63,22 @@ def require_finite(df: DataFrame, columns: Sequence[str], error: type[DataError]
     bad = df.filter(reduce(or_, [~is_finite(F.col(c)) for c in columns])).limit(1).count()
     if bad:
         raise error(f"{', '.join(columns)} must be finite numbers")
+
+
+def offences(df: DataFrame, unique: Sequence[str] = (), filled: Sequence[str] = (), binary: Sequence[str] = (), finite: Sequence[str] = (), members: dict[str, Sequence] | None = None) -> DataFrame:
+    """guard, column, violations: what the checks would find, counted instead of raised.
+
+    Rows are read once, and once more for each unique column. A repeated key counts
+    as often as it is there beyond the first time; a null key too, each time.
+    """
+    rules = {("filled", c): F.col(c).isNull() for c in filled}
+    rules |= {("binary", c): F.col(c).isNull() | ~F.col(c).isin(0, 1) for c in binary}
+    rules |= {("finite", c): ~is_finite(F.col(c)) for c in finite}
+    rules |= {("member", c): F.col(c).isNull() | ~F.col(c).isin(*known) for c, known in (members or {}).items()}
+    counts = df.agg(*[F.count_if(bad).alias(f"c{k}") for k, bad in enumerate(rules.values())])
+    long = F.array(*[F.struct(F.lit(guard).alias("guard"), F.lit(c).alias("column"), F.col(f"c{k}").alias("violations")) for k, (guard, c) in enumerate(rules)])
+    parts = [counts.select(F.explode(long).alias("x")).select("x.*")] if rules else []
+    for c in unique:
+        own = df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col("n")).otherwise(F.col("n") - 1)), F.lit(0)).alias("violations"))
+        parts.append(own.select(F.lit("unique").alias("guard"), F.lit(c).alias("column"), "violations"))
+    return reduce(DataFrame.unionByName, parts)

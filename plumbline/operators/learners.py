@@ -7,8 +7,9 @@ that of C = 1: the regularisation parameter is one over the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -139,10 +140,12 @@ class SLearner:
 
     estimator: object = None
 
-    def fit(self, df: DataFrame, features: Sequence[str], treatment: str = "treatment", target: str = "target") -> SLearner:
+    def fit(self, df: DataFrame, features: Sequence[str], treatment: str = "treatment", target: str = "target", checked: bool = False) -> SLearner:
+        """``checked``: the rows are known to be modelable."""
         if TREATMENT in df.columns:
             raise UpliftError(f"{TREATMENT} is reserved")
-        uplift.require_modelable(df, features, treatment, target)
+        if not checked:
+            uplift.require_modelable(df, features, treatment, target)
         rows = df.withColumn(TREATMENT, F.col(treatment).cast("double"))
         self.pre = Preprocessor(feature_spec(df, features), (TREATMENT,)).fit(rows)
         self.model = _fitted(rows, self.pre, target, "the sample", self.estimator)
@@ -160,8 +163,10 @@ class TLearner:
 
     estimator: object = None
 
-    def fit(self, df: DataFrame, features: Sequence[str], treatment: str = "treatment", target: str = "target") -> TLearner:
-        uplift.require_modelable(df, features, treatment, target)
+    def fit(self, df: DataFrame, features: Sequence[str], treatment: str = "treatment", target: str = "target", checked: bool = False) -> TLearner:
+        """``checked``: the rows are known to be modelable."""
+        if not checked:
+            uplift.require_modelable(df, features, treatment, target)
         self.arms = []
         for arm, name in ((0, "probability_control"), (1, "probability_treatment")):
             rows = df.filter(F.col(treatment) == arm)
@@ -178,13 +183,19 @@ class TLearner:
 LEARNERS = {"s_learner": SLearner, "t_learner": TLearner}
 
 
-@dataclass(frozen=True)
+@dataclass
 class Modeling:
+    """``customer_scores`` are those of a fit on all rows, which is made when they are first asked for."""
+
     predictions: DataFrame
-    customer_scores: DataFrame
     comparison: DataFrame
     curves: DataFrame
     deciles: DataFrame
+    refit: Callable[[], DataFrame]
+
+    @cached_property
+    def customer_scores(self) -> DataFrame:
+        return self.refit()
 
 
 def _scored(df: DataFrame, learners: dict, keep: Sequence[str]) -> DataFrame:
@@ -202,7 +213,8 @@ def train_and_evaluate(df: DataFrame, features: Sequence[str] | None = None, id_
     uplift.require_modelable(df, features, treatment, target)
     parts = staged(uplift.split(df, id_col, share, seed, treatment, target), "split")
     train, holdout = parts.filter("NOT is_holdout").drop("is_holdout"), parts.filter("is_holdout").drop("is_holdout")
-    fitted = {n: kind().fit(train, features, treatment, target) for n, kind in LEARNERS.items()}
+    # the split has both outcomes in both arms if the table has, as far as there are rows for it; what lacks one fails in its fit
+    fitted = {n: kind().fit(train, features, treatment, target, checked=True) for n, kind in LEARNERS.items()}
     predictions = staged(_scored(holdout, fitted, [id_col, treatment, target]), "holdout")
     n_train, n_holdout = train.count(), holdout.count()
     rows, curves, deciles = [], [], []
@@ -211,9 +223,11 @@ def train_and_evaluate(df: DataFrame, features: Sequence[str] | None = None, id_
         rows.append(found.summary.select(F.lit(name).alias("model"), F.lit(n_train).cast("long").alias("train_customers"), F.lit(n_holdout).cast("long").alias("holdout_customers"), "*", F.lit(seed).alias("random_state")))
         curves.append(found.curve.withColumn("model", F.lit(name)))
         deciles.append(found.deciles.withColumn("model", F.lit(name)))
-    final = {n: kind().fit(df, features, treatment, target) for n, kind in LEARNERS.items()}
-    scores = _scored(df, final, [id_col])
-    return Modeling(predictions, scores, rows[0].unionByName(rows[1]), curves[0].unionByName(curves[1]), deciles[0].unionByName(deciles[1]))
+
+    def refit() -> DataFrame:
+        return _scored(df, {n: kind().fit(df, features, treatment, target, checked=True) for n, kind in LEARNERS.items()}, [id_col])
+
+    return Modeling(predictions, rows[0].unionByName(rows[1]), curves[0].unionByName(curves[1]), deciles[0].unionByName(deciles[1]), refit)
 
 
 def materialize(result: Modeling, folder: str) -> dict[str, str]:

@@ -13,6 +13,7 @@ from ..errors import ExperimentError
 from ..functions import inference as stats
 from ..functions import inference_columns as columns
 from ..sources.sinks import write_atomic
+from ..sources.staging import staged
 from .abtest import analyse_experiment, checked_arms, materialize_result, one_row
 from .guards import require_binary, require_columns
 
@@ -184,7 +185,7 @@ def analyse_segments(df: DataFrame, dimensions: Sequence[str] = SEGMENTS, alpha:
         df = add_segments(df)
     require_columns(df, [*dimensions, treatment, target], "mart", ExperimentError)
     require_binary(df, [treatment, target])
-    found = segment_effects(df, dimensions, alpha, treatment, target)
+    found = staged(segment_effects(df, dimensions, alpha, treatment, target), "segments")
     if found.isEmpty():
         raise ExperimentError("no segment has both arms")
     return found.orderBy("dimension", "segment")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import inference as stats
-from ..operators import abtest, cleaning, features, learners, profiling, rfm, semantic, targeting, uplift, validation, warehouse
-from ..sources import retail
-from ..sources.staging import staged
+from ..operators import abtest, cleaning, features, guards, learners, profiling, rfm, semantic, targeting, uplift, validation, warehouse
+from ..operators.roles import config_from
+from ..sources import loader, retail, sinks
+from ..sources.staging import shared_folder, staged
 
 CONFIG = retail.CONFIG
 ECONOMICS = targeting.EconomicsConfig(semantic.COST, semantic.PROFIT)
@@ -77,7 +80,8 @@ def power_plan(spark, sf_dir):
     at_mde = stats.achieved_power(r.control_cr, r.control_cr + r.mde_absolute, r.control_size, r.treatment_size) if r.mde_absolute else None
     at_size = stats.achieved_power(r.control_cr, r.treatment_cr, r.required_control_size, r.required_treatment_size) if r.required_total_size else None
     row = abtest.one_row(spark, r).select("required_control_size", "required_treatment_size", "required_total_size", "mde_absolute", "target_power", "alternative", "warnings")
-    return row.select("*", F.lit(at_mde).cast("double").alias("power_at_mde"), F.lit(at_size).cast("double").alias("power_at_size"))
+    row = rounded(row, 6)
+    return row.select("*", F.round(F.lit(at_mde).cast("double"), 6).alias("power_at_mde"), F.round(F.lit(at_size).cast("double"), 6).alias("power_at_size"))
 
 
 def srm_check(spark, sf_dir):
@@ -336,7 +340,7 @@ def _star(spark, sf_dir):
         "fact_purchases": fact,
         "fact_experiment": warehouse.experiment_fact(retail.assignment(spark, sf_dir), KEY),
         "uplift_predictions": warehouse.prediction_fact(retail.surrogate_scores(spark, sf_dir), KEY).withColumn("probability_treatment", F.when(F.col("customer_id").cast("long") % 100 == 7, 1.5).otherwise(F.col("probability_treatment"))),
-        "business_scenarios": warehouse.scenario_rows(targeting.compare_strategies(scores(spark, sf_dir), ECONOMICS, THRESHOLD).withColumn("selected_model", F.lit("s_learner")), KEY, "base"),
+        "business_scenarios": business_scenarios(spark, sf_dir).withColumn("scenario_analysis", F.when(F.col("customers_targeted") % 3 > 0, F.col("customers_targeted") % 3 == 1)),
     }
 
 
@@ -416,6 +420,69 @@ def bi_calendar(spark, sf_dir):
     return semantic.calendar(table(spark, sf_dir, "orders"), "o_orderdate")
 
 
+def csv_scan(spark, sf_dir):
+    """Customers after a round trip through CSV and packed CSV, types inferred."""
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "customer")
+    out = []
+    for packed, suffix in ((False, "csv"), (True, "csv.gz")):
+        path = f"{folder}/customer.{suffix}"
+        rows.write.csv(path, header=True, compression="gzip" if packed else "none")
+        found = loader.scan(spark, path).withColumn("packed", F.lit(packed))
+        out.append(found.withColumns({f.name: F.col(f.name).cast("long") for f in found.schema if f.dataType == T.IntegerType()}))
+    return rounded(out[0].unionByName(out[1]), 6)
+
+
+def table_upserts(spark, sf_dir):
+    """Balances by customer: loaded, a third overridden (some by what is no number), a nation's replaced, in one transaction."""
+    store = sinks.Tables(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").cast("long").alias("nation"), F.col("c_acctbal").alias("balance"))
+    key = F.col("customer_id")
+    spoiled = F.when(key % 2 == 0, F.lit(float("nan"))).when(key % 9 == 0, F.lit(float("-inf"))).otherwise(-F.col("balance"))
+    with store.transaction():
+        number = store.key_of("loads", "load_key", "load_name", "balances")
+        store.upsert("balances", rows, ["customer_id"])
+        store.upsert("balances", rows.filter(key % 3 == 0).withColumn("balance", spoiled), ["customer_id"])
+        store.replace("balances", rows.filter("nation = 3").withColumn("balance", F.lit(0.0)), "nation", 3)
+    return rounded(store.read("balances").withColumn("load_key", F.lit(number).cast("long")), 4)
+
+
+def guard_counts(spark, sf_dir):
+    """What the guards find in a spoiled customer table."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        F.when(key % 7 > 0, F.floor(key / 2)).alias("client_id"),
+        F.when(key % 11 > 0, key % 4).alias("treatment"),
+        F.when(key % 5 == 0, F.lit(float("nan"))).when(key % 5 == 1, F.lit(float("inf"))).when(key % 5 > 2, F.col("c_acctbal")).alias("score"),
+        "c_mktsegment",
+    )
+    return guards.offences(rows, ["client_id"], ["client_id", "treatment"], ["treatment"], ["score"], {"c_mktsegment": ("BUILDING", "MACHINERY")})
+
+
+def client_ages(spark, sf_dir):
+    """Ages from birth dates as texts and as dates, and given ages of which only those from 0 to 120 count."""
+    key = F.col("c_custkey")
+    born = F.date_add(F.lit("1925-03-01").cast("date"), (key * 37 % 27000).cast("int"))
+    rows = table(spark, sf_dir, "customer").select(key.alias("c"), born.alias("d"), F.date_format(born, "dd.MM.yyyy").alias("s"), (key % 200 - 40).alias("a"))
+    roles = {"by_text": {"birth_date": "s", "birth_date_format": "dd.MM.yyyy"}, "by_date": {"birth_date": "d"}, "by_age": {"age": "a"}}
+    out = rows.select(F.col("c").alias("client_id"))
+    for name, own in roles.items():
+        config = config_from({"experiment_start": "2000-01-01T00:00:00", "clients": {"client_id": "c", **own}, "purchases": {"client_id": "c", "transaction_id": "t", "transaction_datetime": "d", "amount": "a"}})
+        out = out.join(features.prepare_clients(rows, config).select("client_id", F.col("age").cast("int").alias(name)), "client_id")
+    return out
+
+
+def purchase_moments(spark, sf_dir):
+    """Seconds since 1970 of the orders' times, from texts with a zone and from texts in a format of their own without one."""
+    orders = table(spark, sf_dir, "orders")
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    texts = orders.select("o_orderkey", F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit("+03:00")).alias("zoned"), F.date_format(at, "dd.MM.yyyy HH:mm").alias("plain"))
+    roles = lambda start, column, **more: config_from({"experiment_start": start, "clients": {"client_id": "c"}, "purchases": {"client_id": "c", "transaction_id": "t", "transaction_datetime": column, "amount": "a", **more}})
+    zoned = features.moment(texts, roles("2000-01-01T00:00:00+00:00", "zoned"))
+    plain = features.moment(texts, roles("2000-01-01T00:00:00", "plain", transaction_datetime_format="dd.MM.yyyy HH:mm"))
+    return texts.select("o_orderkey", F.unix_seconds(zoned).alias("zoned"), F.unix_seconds(plain.cast("timestamp")).alias("plain"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -429,5 +496,6 @@ QUERIES = {
         view_experiment_overview, view_segment_performance, quality_checks, constraint_violations,
         bi_experiment_kpis, bi_conversion_by_arm, bi_result_kpis, bi_segment_kpis, bi_model_scores, bi_target_kpis, bi_decile_kpis, bi_qini_baseline,
         bi_scenarios, bi_models, bi_grids, bi_what_if, bi_calendar,
+        csv_scan, table_upserts, guard_counts, client_ages, purchase_moments,
     )
 }

@@ -10,6 +10,8 @@ from ..errors import ConfigError, DataError, FormatError, MissingDataError
 
 ENTITIES = ("clients", "products", "purchases", "uplift_train")
 SUFFIXES = (".csv", ".csv.gz", ".parquet")
+#: Rows that the types of a CSV file are inferred from.
+INFERRED = 10_000
 
 
 def listed(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
@@ -40,12 +42,18 @@ def discover(spark: SparkSession, folder: str, entities: Iterable[str] = ENTITIE
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet by its schema; CSV, also packed, with header, inferred types and dates."""
+    """Parquet by its schema; CSV, also packed, with header, types and dates inferred from its first rows.
+
+    A later value that doesn't fit the inferred type is an error, not a null.
+    """
     name = str(path).lower().rstrip("/")
     if name.endswith(".parquet"):
         return spark.read.parquet(str(path))
     if name.endswith((".csv", ".csv.gz")):
-        frame = spark.read.csv(str(path), header=True, inferSchema=True)
+        first, *rest = [r[0] for r in spark.read.text(str(path)).limit(INFERRED + 1).collect()] or [""]
+        head = [first, *(x for x in rest if x != first)]  # each file of a folder has the header
+        schema = spark.read.csv(spark.sparkContext.parallelize(head, 1), header=True, inferSchema=True).schema
+        frame = spark.read.csv(str(path), header=True, schema=schema, enforceSchema=False, mode="FAILFAST")
         # a packed file is one split; deal its rows out for what follows
         return frame.repartition(spark.sparkContext.defaultParallelism) if name.endswith(".gz") else frame
     raise FormatError(f"not read: {path} (known: {', '.join(SUFFIXES)})")

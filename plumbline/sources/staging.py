@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import ConfigError
+
+#: By application what it has staged and not yet removed.
+_STAGED: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if the session names none."""
+    """The folder that driver and executors share. Only a local session may go without: it gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ConfigError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = "file://" + own
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
@@ -25,5 +37,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Remove what this application has staged, once no result that was made from it is read any more; how many tables."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
