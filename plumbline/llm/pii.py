@@ -20,6 +20,11 @@ A term is sanitised beside e when the disclosure reaches ``disclosure`` and the
 two were seen in at least ``support`` different contexts (copies of one passage
 are one context). Such terms are added as spans of kind ``term``.
 
+The work grows with the text, not with the square of its matches: places of
+matches are summed in blocks of ``BLOCK`` matches, windows are cut from pieces of
+``PIECE`` code points, and terms that overlap a base span are found by one pass
+over both in the order of their places.
+
 Only DataFrame functions are used. Defined cases: a null text is empty and has
 no spans; an empty table gives an empty result; repeated rows are reported
 each; null ids are kept; other columns are ignored.
@@ -28,6 +33,7 @@ each; null ids are kept; other columns are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import staged, table, text_or_empty
@@ -46,6 +52,8 @@ TERM = r"\p{L}{4,}"
 NEAR = 80
 
 SPAN = "struct<start:int,end:int,value:string>"
+#: Matches whose places are summed together; code points of the pieces that windows are cut from.
+BLOCK, PIECE = 500, 1024
 
 
 def matches(text: str, pattern: str) -> str:
@@ -55,11 +63,24 @@ def matches(text: str, pattern: str) -> str:
     give the offsets.
     """
     quoted = "r'" + pattern + "'"
+    none = f"cast(array() AS array<{SPAN}>)"
     pairs = f"zip_with(split({text}, {quoted}, -1), regexp_extract_all({text}, {quoted}, 0), (p, m) -> struct(length(p) AS gap, m AS value))"
-    start = "named_struct('at', 0, 'found', cast(array() AS array<" + SPAN + ">))"
     step = "named_struct('at', acc.at + x.gap + coalesce(length(x.value), 0), 'found', CASE WHEN x.value IS NULL THEN acc.found ELSE array_append(acc.found, named_struct('start', acc.at + x.gap, 'end', acc.at + x.gap + length(x.value), 'value', x.value)) END)"
-    found = f"aggregate({pairs}, {start}, (acc, x) -> {step}, acc -> acc.found)"
-    return f"CASE WHEN {text} RLIKE {quoted} THEN {found} ELSE cast(array() AS array<{SPAN}>) END"
+    block = f"aggregate(slice(pairs, k, {BLOCK}), named_struct('at', whole.at, 'found', {none}), (acc, x) -> {step}, acc -> named_struct('at', acc.at, 'blocks', array_append(whole.blocks, acc.found)))"
+    blocks = f"aggregate(sequence(1, size(pairs), {BLOCK}), named_struct('at', 0, 'blocks', cast(array() AS array<array<{SPAN}>>)), (whole, k) -> {block}, whole -> flatten(whole.blocks))"
+    # as the only element of an array the pairs have a name, and are found once
+    return f"CASE WHEN {text} RLIKE {quoted} THEN element_at(transform(array({pairs}), pairs -> {blocks}), 1) ELSE {none} END"
+
+
+def between(start: str, end: str) -> str:
+    """SQL: the code points of a text from ``start`` up to ``end``, from its ``pieces``."""
+    first, last = f"int(({start}) div {PIECE})", f"int(({end}) div {PIECE})"
+    return f"substring(array_join(slice(pieces, {first} + 1, {last} - {first} + 1), ''), ({start}) % {PIECE} + 1, ({end}) - ({start}))"
+
+
+def in_pieces(rows: DataFrame, text: str, when: str) -> DataFrame:
+    """``pieces``: the text in pieces of ``PIECE`` code points, for rows where they are wanted."""
+    return rows.withColumn("pieces", F.expr(f"CASE WHEN {when} THEN regexp_extract_all({text}, r'(?s).{{1,{PIECE}}}', 0) END"))
 
 
 def _digits(value: str) -> str:
@@ -92,23 +113,19 @@ def _listed(spans: str | Column, kind: str) -> Column:
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.8, support: int = 3) -> DataFrame:
     """Per row: rid (a number of the row), id, the base spans by kind, and ``term`` spans."""
-    at = F.col("at")
     every = F.concat(*[F.expr(f"transform({k}, x -> struct('{k}' AS kind, x.start, x.end, x.value))") for k in KINDS])
-    near = F.transform("every", lambda s: F.struct(
-        F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"),
-        F.greatest(s["start"] - NEAR, F.lit(0)).alias("at"),
-        F.concat(F.substring(F.col("t"), F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR))), F.repeat(F.lit(" "), s["end"] - s["start"]), F.substring(F.col("t"), s["end"] + 1, F.lit(NEAR))).alias("around"),
-    ))
-    rows = base_spans(docs, id_col, text_col).withColumn("every", every).withColumn("near", near)
+    first, last = f"greatest(s.start - {NEAR}, 0)", f"least(s.end + {NEAR}, length(t))"
+    window = f"concat({between(first, 's.start')}, repeat(' ', s.end - s.start), {between('s.end', last)})"
+    near = F.expr(f"transform(every, s -> struct(concat_ws(':', s.kind, lower(s.value)) AS entity, {first} AS at, {window} AS around))")
+    rows = in_pieces(base_spans(docs, id_col, text_col).withColumn("every", every), "t", "size(every) > 0").withColumn("near", F.when(F.size("every") > 0, near))
     rows = staged(rows.select(F.monotonically_increasing_id().alias("rid"), "id", *KINDS, "near"), "pii-base")
 
-    mentions = rows.filter(F.size("near") > 0).select("rid", *KINDS, F.explode("near").alias("m")).select("rid", *KINDS, "m.*")
-    # a word that the window cuts off isn't a term, nor is what overlaps a base span
+    mentions = rows.filter(F.size("near") > 0).select("rid", F.explode("near").alias("m")).select("rid", "m.*")
+    # a word that the window cuts off isn't a term
     whole = "filter({0}, x -> (at = 0 OR x.start > 0) AND x.end < length(around))".format(matches("around", TERM))
-    clear = " AND ".join(f"NOT exists({k}, b -> b.start < at + x.end AND b.end > at + x.start)" for k in KINDS)
-    terms = mentions.withColumn("terms", F.expr(f"filter({whole}, x -> {clear})"))
-    terms = terms.select("rid", "entity", F.xxhash64("around").alias("context"), "at", F.explode("terms").alias("x"))
-    terms = staged(terms.select("rid", "entity", "context", F.lower("x.value").alias("term"), (at + F.col("x.start")).alias("start"), (at + F.col("x.end")).alias("end")), "pii-terms")
+    terms = mentions.select("rid", "entity", F.xxhash64("around").alias("context"), "at", F.explode(F.expr(whole)).alias("x"))
+    terms = terms.select("rid", "entity", "context", F.lower("x.value").alias("term"), (F.col("at") + F.col("x.start")).alias("start"), (F.col("at") + F.col("x.end")).alias("end"))
+    terms = staged(_clear(terms, rows), "pii-terms")
 
     seen = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= support)
     both = terms.select("entity", "term", "rid").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
@@ -129,6 +146,16 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.select("rid", "id", *KINDS, F.coalesce("found", F.expr(f"cast(array() AS array<{SPAN}>)")).alias("term"))
 
 
+def _clear(terms: DataFrame, rows: DataFrame) -> DataFrame:
+    """The terms that no base span of their row overlaps: those before whose end no span starts that ends behind their start."""
+    spans = F.concat(*[F.transform(k, lambda x: F.struct(x["start"], x["end"])) for k in KINDS])
+    spans = rows.select("rid", F.explode(spans).alias("b")).select("rid", F.col("b.start").alias("place"), F.lit(1).alias("is_span"), F.col("b.end").alias("reach"))
+    events = terms.withColumns({"place": F.col("end"), "is_span": F.lit(0)}).unionByName(spans, allowMissingColumns=True)
+    before = W.partitionBy("rid").orderBy("place", "is_span").rowsBetween(W.unboundedPreceding, -1)
+    found = events.withColumn("reached", F.max("reach").over(before)).filter((F.col("is_span") == 0) & (F.coalesce("reached", F.lit(0)) <= F.col("start")))
+    return found.select(*terms.columns)
+
+
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.8, support: int = 3) -> DataFrame:
     """Per row: id and the text with values generalised to ``[KIND]`` and disclosing terms removed.
 
@@ -139,11 +166,14 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     put = {k: f"[{k.upper()}]" for k in KINDS} | {"term": ""}
     marks = F.concat(*[F.expr(f"transform({k}, x -> struct(x.start AS start, -x.end AS last, '{p}' AS put))") for k, p in put.items()])
     joined = numbered.join(found.select(F.col("id").alias("row"), F.array_sort(marks).alias("marks")), "row")
-    cut = """aggregate(marks, named_struct('at', 0, 'out', ''),
-        (acc, m) -> CASE WHEN m.start < acc.at THEN acc ELSE
-            named_struct('at', -m.last, 'out', concat(acc.out, substring(t, acc.at + 1, m.start - acc.at), m.put)) END,
-        acc -> concat(acc.out, substring(t, acc.at + 1)))"""
-    return joined.select("id", F.expr(cut).alias("text"))
+    # marks that start before an earlier one's end go; what is between the others comes from the pieces
+    none = "cast(array() AS array<struct<start:int,end:int,put:string>>)"
+    keep = f"aggregate(slice(marks, k, {BLOCK}), named_struct('at', whole.at, 'kept', {none}), (acc, m) -> CASE WHEN m.start < acc.at THEN acc ELSE named_struct('at', -m.last, 'kept', array_append(acc.kept, named_struct('start', m.start, 'end', -m.last, 'put', m.put))) END, acc -> named_struct('at', acc.at, 'blocks', array_append(whole.blocks, acc.kept)))"
+    kept = f"aggregate(CASE WHEN size(marks) > 0 THEN sequence(1, size(marks), {BLOCK}) ELSE array() END, named_struct('at', 0, 'blocks', cast(array() AS array<array<struct<start:int,end:int,put:string>>>)), (whole, k) -> {keep}, whole -> flatten(whole.blocks))"
+    joined = in_pieces(joined, "t", "size(marks) > 0").withColumn("kept", F.expr(kept))
+    ends = "concat(array(0), transform(kept, m -> m.end))"
+    parts = f"zip_with({ends}, kept, (at, m) -> concat({between('at', 'coalesce(m.start, length(t))')}, coalesce(m.put, '')))"
+    return joined.select("id", F.expr(f"CASE WHEN size(kept) > 0 THEN array_join({parts}, '') ELSE t END").alias("text"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,28 @@ def test_sql_gives_the_same_rows(spark, documents, written):
         got = [tuple(r) for r in rows.orderBy("doc_id").collect()]
         assert got == want
     assert sum(r[-1] for r in got) > 10
+
+
+def test_very_many_values_in_one_text(spark, documents):
+    """20,000 addresses and as many words between them: work in proportion, and the same spans as the given patterns'."""
+    import time
+
+    words = ["alpha", "bravo", "charlie", "delta", "echo"]
+    text = " ".join(f"{words[k % 5]} u{k}@h{k % 50}.org" for k in range(20_000))
+    docs = documents([(1, text), (2, "see u1@h1.org")])
+    start = time.monotonic()
+    rows = {r["id"]: r for r in pii.find_personal(docs).collect()}
+    assert time.monotonic() - start < 120
+    assert [(s["start"], s["end"]) for s in rows[1]["email"]] == brute(text)["email"]
+    clean = {r["id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert clean[1] == re.sub(BASE["email"], "[EMAIL]", text) and clean[2] == "see [EMAIL]"
+
+
+def test_windows_over_the_edges_of_pieces(spark, documents, monkeypatch):
+    """Windows and spans in pieces and blocks of a few: the same rows as otherwise."""
+    texts = [f"{'é pad ' * k}Quixote joe@example.org 10.0.0.{k} +44 20 7946 0958 \U0001f600 Sancho Quixote joe@example.org" for k in range(15, 24)]
+    docs = documents(texts + [None, "", "word " * 50])
+    whole = [sorted(map(str, f(docs).drop("rid").collect())) for f in (pii.find_personal, pii.sanitised)]
+    monkeypatch.setattr(pii, "PIECE", 7)
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    assert [sorted(map(str, f(docs).drop("rid").collect())) for f in (pii.find_personal, pii.sanitised)] == whole
