@@ -8,17 +8,19 @@ more than ``repeats`` times under the budget, the smallest that doesn't.
 
 The budget is ``budget`` times all tokens. A source's quota, its weight times
 the budget, is realised as block permutations: each pass over a source is a
-block in an order drawn from md5(seed, pass, id); as many whole blocks as the
-quota holds, then of one more block the documents that come first, as far as
-the quota reaches. That cut is a greatest digest per source, so selecting rows
-needs no shuffle of texts. The running sum that finds the cut is taken in two
-levels (by ranges of digests, then inside them), so that no source, however
-large, meets in one task.
+block in an order drawn from md5(seed, pass, id), a document's *place*; as many
+whole blocks as the quota holds, then of one more block the documents that come
+first, as far as the quota reaches. That cut is a greatest place per source. It is
+found from the top: places are summed by their first two digits, then, inside the
+range that the quota ends in, by the next two, until a range holds few documents;
+so a task sees 256 ranges of a source, however large it is. ``mixed`` gives the rows
+in the order of blocks and places, dealt over partitions by ranges of them.
 
 Only DataFrame functions are used. Defined cases: a null text has no tokens; a
 null source counts as the source ``''``; documents without tokens are never
-chosen; repeated rows (same id) share their digest and are chosen together;
-an empty table gives an empty result; other columns are left alone.
+chosen; repeated rows (same id) share their places and are chosen together; rows
+of null ids have places by their texts; an empty table gives an empty result;
+other columns are left alone.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from .common import staged, table, text_or_empty
 STEPS = 1 << 20
 #: Exponents that are tried in one pass over the sources.
 FAN = 64
-#: Documents that one range of digests should hold at most, on average.
+#: Documents in whose range the cut is looked for one by one.
 IN_RANGE = 1024
 #: Sources that are sent to every executor at most; beyond, rows and sources are shuffled by source.
 MOST_SENT = 100_000
@@ -45,9 +47,14 @@ def n_tokens(text: str | Column) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
 
-def block_key(id_col: str | Column, block: Column, seed: int) -> Column:
+def place_key(id_col: str | Column, text: str | Column) -> Column:
+    """What a document's places are drawn from: its id, or a digest of its text if it has none."""
     key = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), block.cast("string"), F.coalesce(key.cast("string"), F.lit(""))))
+    return F.coalesce(key.cast("string"), F.concat(F.lit("~"), F.md5(text_or_empty(text))))
+
+
+def place(key: Column, block: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), block.cast("string"), key))
 
 
 def exponent(shares: DataFrame, n: int, entropy: float, repeats: float, budget: float) -> int:
@@ -80,9 +87,9 @@ def exponent(shares: DataFrame, n: int, entropy: float, repeats: float, budget:
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = 0.95, repeats: float = 2.0, budget: float = 1.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(per row: id, source, n_tokens), (per source: source, weight, quota, blocks, cut)."""
-    rows = staged(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), n_tokens(text_col).alias("n_tokens")), "mix-rows")
-    sums = staged(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).filter("tokens > 0"), "mix-sources")
-    total, n, largest = sums.agg(F.sum("tokens"), F.count(F.lit(1)), F.max("docs")).first()
+    rows = staged(docs.select(F.col(id_col).alias("id"), place_key(id_col, text_col).alias("key"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), n_tokens(text_col).alias("n_tokens")), "mix-rows")
+    sums = staged(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0"), "mix-sources")
+    total, n = sums.agg(F.sum("tokens"), F.count(F.lit(1))).first()
     if not n:
         empty = sums.select("source", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("quota"), F.lit(0).cast("long").alias("blocks"), F.lit("").alias("cut"))
         return rows, empty
@@ -94,53 +101,77 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     shares = shares.withColumn("quota", F.floor(F.col("weight") * F.lit(float(int(total * budget)))))
     shares = staged(shares.withColumn("blocks", F.floor(F.col("quota") / F.col("tokens"))).select("source", "tokens", "weight", "quota", "blocks"), "mix-weights")
 
-    digits = 1
-    while largest > IN_RANGE * 16**digits:
-        digits += 1
-    chosen = rows.join(F.broadcast(shares) if n <= MOST_SENT else shares, "source").filter("n_tokens > 0")
-    keyed = chosen.select("source", "n_tokens", block_key("id", F.col("blocks"), seed).alias("key"), (F.col("quota") - F.col("blocks") * F.col("tokens")).alias("room"))
-    keyed = staged(keyed.withColumn("range", F.substring("key", 1, digits)), "mix-keys")
-    before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = keyed.groupBy("source", "range").agg(F.sum("n_tokens").alias("held"), F.first("room").alias("room"))
-    ranges = ranges.withColumn("ahead", F.coalesce(F.sum("held").over(before), F.lit(0))).filter("ahead <= room")
-    # the cut is in the one range per source that the quota reaches but doesn't fill, or at the end of the one before
-    ranges = staged(ranges.select("source", "range", "ahead", "held", "room"), "mix-ranges")
-    edge = ranges.filter("ahead + held > room").select("source", "range", "ahead")
-    inside = keyed.join(edge, ["source", "range"]).withColumn("upto", F.col("ahead") + F.sum("n_tokens").over(W.partitionBy("source", "range").orderBy("key")))
-    cuts = inside.filter("upto <= room").groupBy("source").agg(F.max("key").alias("cut"))
-    full = ranges.filter("ahead + held <= room").groupBy("source").agg(F.max(F.concat("range", F.lit("g"))).alias("cut"))  # after every digest of the range
-    cuts = cuts.unionByName(full).groupBy("source").agg(F.max("cut").alias("cut"))
+    sent = lambda df: F.broadcast(df) if n <= MOST_SENT else df
+    chosen = rows.join(sent(shares), "source").filter("n_tokens > 0")
+    placed = staged(chosen.select("source", "n_tokens", place(F.col("key"), F.col("blocks"), seed).alias("place")), "mix-places")
+    cuts = cut_places(placed, shares.select("source", (F.col("quota") - F.col("blocks") * F.col("tokens")).alias("room")), sent)
     sources = shares.join(cuts, "source", "left").select("source", "weight", "quota", "blocks", F.coalesce("cut", F.lit("")).alias("cut"))
     return rows, staged(sources, "mix-plan")
 
 
-def _copies(id_col: Column, tokens: Column, seed: int) -> Column:
-    last = F.when(block_key(id_col, F.col("blocks"), seed) <= F.col("cut"), 1).otherwise(0)
+def cut_places(placed: DataFrame, rooms: DataFrame, sent) -> DataFrame:
+    """source, cut: up to which place the documents (source, place, n_tokens) fill a source's room and no more.
+
+    ``prefix`` leads to the range in which the room ends; what is before it is in ``ahead``.
+    """
+    edge, cuts, digits = rooms.select("source", "room", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("ahead")), None, 0
+    in_order = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    while True:
+        inside = placed.join(sent(edge), (placed["source"] == edge["source"]) & (F.substring("place", 1, digits) == F.col("prefix"))).drop(edge["source"])
+        if digits and (digits == 32 or not edge.filter(F.col("docs") > IN_RANGE).count()):
+            one_by_one = W.partitionBy("source").orderBy("place").rangeBetween(W.unboundedPreceding, W.currentRow)
+            found = inside.withColumn("upto", F.col("ahead") + F.sum("n_tokens").over(one_by_one)).filter("upto <= room")
+            return cuts.unionByName(found.select("source", F.col("place").alias("cut"))).groupBy("source").agg(F.max("cut").alias("cut"))
+        digits += 2
+        ranges = inside.groupBy("source", F.substring("place", 1, digits).alias("range")).agg(F.sum("n_tokens").alias("held"), F.count(F.lit(1)).alias("docs"), F.first("room").alias("room"), F.first("ahead").alias("ahead"))
+        ranges = ranges.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("held").over(in_order), F.lit(0))).filter("ahead <= room")
+        ranges = staged(ranges.select("source", "range", "room", "ahead", "held", "docs"), "mix-ranges")
+        full = ranges.filter("ahead + held <= room").select("source", F.concat("range", F.lit("g")).alias("cut"))  # after every place of the range
+        cuts = full if cuts is None else cuts.unionByName(full)
+        edge = ranges.filter("ahead + held > room").select("source", "room", F.col("range").alias("prefix"), "ahead", "docs")
+
+
+def _copies(key: Column, tokens: Column, seed: int) -> Column:
+    last = F.when(place(key, F.col("blocks"), seed) <= F.col("cut"), 1).otherwise(0)
     return F.when(tokens > 0, F.coalesce(F.col("blocks") + last, F.lit(0))).otherwise(0).cast("long")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **how) -> DataFrame:
-    """``docs``, each row as often as the mixture takes it, in its own columns."""
+def _taken(key: Column, copies: Column, seed: int) -> Column:
+    """(block, place) of each copy of a document."""
+    blocks = F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies - 1)).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(blocks, lambda b: F.struct(b.alias("block"), place(key, b, seed).alias("place")))
+
+
+def scheduled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **how) -> DataFrame:
+    """row (the columns of ``docs``), block and place: a row for each copy that the mixture takes, in no order."""
     _, sources = plan(docs, id_col, text_col, source_col, seed=seed, **how)
     few = sources.count() <= MOST_SENT
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(own, F.col(id_col).alias("own_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"))
+    rows = docs.select(own, place_key(id_col, text_col).alias("key"), F.coalesce(F.col(source_col), F.lit("")).alias("source"))
     rows = rows.join(F.broadcast(sources) if few else sources, "source")
-    copies = _copies(F.col("own_id"), F.regexp_instr(text_or_empty(F.col(f"row.`{text_col}`")), F.lit(WORD)), seed)
-    return rows.withColumn("copies", copies).filter("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
+    copies = _copies(F.col("key"), F.regexp_instr(text_or_empty(F.col(f"row.`{text_col}`")), F.lit(WORD)), seed)
+    return rows.select("row", F.explode(_taken(F.col("key"), copies, seed)).alias("x")).select("row", "x.*")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **how) -> DataFrame:
+    """``docs``, each row as often as the mixture takes it, in its own columns, block after block in the order of places."""
+    rows = scheduled(docs, id_col, text_col, source_col, seed, **how)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, "block", "place").sortWithinPartitions("block", "place").select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its source, tokens, the source's weight and how often the mixture takes it."""
+    """Per document: its source, tokens, the source's weight, how often the mixture takes it, and ``block:place`` of each time."""
     rows, sources = plan(table(spark, sf_dir, "documents"))
     few = sources.count() <= MOST_SENT
-    found = rows.join(F.broadcast(sources) if few else sources, "source", "left")
-    return found.select(F.col("id").alias("doc_id"), "source", "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), _copies(F.col("id"), F.col("n_tokens"), 7).alias("copies"))
+    found = rows.join(F.broadcast(sources) if few else sources, "source", "left").withColumn("copies", _copies(F.col("key"), F.col("n_tokens"), 7))
+    schedule = F.array_join(F.transform(_taken(F.col("key"), F.col("copies"), 7), lambda x: F.concat_ws(":", x["block"].cast("string"), x["place"])), ",")
+    return found.select(F.col("id").alias("doc_id"), "source", "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), "copies", schedule.alias("schedule"))
 
 
 OP4_SQL = rf"""
 WITH RECURSIVE t AS (
-  SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '~' || md5(coalesce(text, ''))) AS id_key, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens
   FROM documents),
 s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY source HAVING sum(n_tokens) > 0),
 total AS (SELECT sum(tokens)::DOUBLE AS total, count(*) AS n FROM s),
@@ -163,9 +194,11 @@ w AS (
   SELECT source, tokens, floor(weight * total)::BIGINT AS quota, floor(floor(weight * total) / tokens)::BIGINT AS blocks, weight
   FROM (SELECT source, tokens, total, round(pow(tokens / total, a) / sum(pow(tokens / total, a)) OVER (), 9) AS weight FROM s, total, step)),
 k AS (
-  SELECT t.*, weight, quota, blocks, tokens, md5('7:' || blocks || ':' || coalesce(doc_id::VARCHAR, '')) AS key
-  FROM t LEFT JOIN w USING (source))
-SELECT doc_id, source, n_tokens, coalesce(weight, 0.0) AS weight,
-       CASE WHEN n_tokens > 0 THEN blocks + (sum(n_tokens) OVER (PARTITION BY source ORDER BY key) <= quota - blocks * tokens)::BIGINT ELSE 0 END AS copies
-FROM k
+  SELECT t.*, weight, quota, blocks, tokens, md5('7:' || blocks || ':' || id_key) AS key
+  FROM t LEFT JOIN w USING (source)),
+c AS (
+  SELECT *, CASE WHEN n_tokens > 0 THEN blocks + (sum(n_tokens) OVER (PARTITION BY source ORDER BY key) <= quota - blocks * tokens)::BIGINT ELSE 0 END AS copies FROM k)
+SELECT doc_id, source, n_tokens, coalesce(weight, 0.0) AS weight, copies,
+       array_to_string([b || ':' || md5('7:' || b || ':' || id_key) FOR b IN range(0, copies)], ',') AS schedule
+FROM c
 """
