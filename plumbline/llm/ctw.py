@@ -22,7 +22,7 @@ The base is the sum over words ``[^\x20\x09-\x0D]+`` and one end of
 log10((c+1)/(N+1*(V+1))) with counts of the training documents. Words that make
 up one ``SENT``-th of the tokens (at most ``SENT`` words) go to the workers; all
 others are counted per document, joined to the table of word counts by a
-shuffle, and summed.
+shuffle, and summed. A word over ``LONG_WORD`` bytes goes by a digest of 128 bits.
 
 Defined cases: a null text is empty (its only token is the end); repeated rows
 are scored each; null ids are kept and count by the crc32 of the empty text;
@@ -33,6 +33,7 @@ of any length are read whole.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -48,8 +49,8 @@ from .common import share_of, small_batches, staged, table
 DEPTH, SPLIT = 5, 3
 #: Distinct grams of a part, about; parts at least; bytes of text whose grams are looked up together.
 PART, LEAST_PARTS, CHUNK = 100_000, 32, 8 << 20
-#: Words sent to the workers at most, and the bytes of the longest.
-SENT, SENT_BYTES = 1 << 18, 64
+#: Words sent to the workers at most; bytes from which a word goes by its digest.
+SENT, LONG_WORD = 1 << 18, 64
 #: Grams and words that a worker gathers before it hands on their counts.
 GATHERED = 2_000_000
 
@@ -64,81 +65,13 @@ def _ln_gamma(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series / x - np.log(shift)
 
 
-def _decisions(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per place of the binary tree (1 to 255, place 0 unused) the zeros and ones."""
-    tree = np.zeros((len(count), 512))
-    tree[:, 256:] = count
-    for level in range(7, -1, -1):
-        lo, hi = 1 << level, 2 << level
-        tree[:, lo:hi] = tree[:, 2 * lo : 2 * hi : 2] + tree[:, 2 * lo + 1 : 2 * hi : 2]
-    return tree[:, 0:512:2], tree[:, 1:512:2]
-
-
 def _ln_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _ln_gamma(zeros + 0.5) + _ln_gamma(ones + 0.5) - _ln_gamma(zeros + ones + 1) - math.log(math.pi)
 
 
-class CTW:
-    """Code lengths in bits at each node of a tree in memory, from the counts at its nodes."""
-
-    def __init__(self, kept: list[np.ndarray], count: np.ndarray):
-        """``count``: how often each byte follows each node's context, without the rests."""
-        tree = self.tree = contexts.Tree(kept)
-        inner = len(tree.rest)
-        every = np.concatenate([count, count[:inner]])
-        own = np.arange(1, len(count))
-        np.subtract.at(every, tree.rest[tree.parent[own]], count[own])
-        ln_half = math.log(0.5)
-        stop = np.zeros((inner, 256), np.float32)  # weight of an inner node's own estimate
-        weighted = np.zeros((len(every), 256), np.float32 if len(every) > 200_000 else float)
-        leaves = np.concatenate([np.arange(inner, len(count)), tree.rest])
-        for some in np.array_split(leaves, max(1, len(leaves) // 4096)):
-            weighted[some] = _ln_kt(*_decisions(every[some]))
-        for d in range(tree.depth - 1, -1, -1):
-            ids = np.arange(inner)[tree.nodes_of(d)]
-            below = weighted[tree.rest[ids]].copy()
-            children = np.arange(len(count))[tree.nodes_of(d + 1)]
-            np.add.at(below, tree.parent[children] - (ids[0] if len(ids) else 0), weighted[children])
-            alone = ln_half + _ln_kt(*_decisions(every[ids]))
-            weighted[ids] = np.logaddexp(alone, ln_half + below)
-            stop[ids] = np.exp(alone - weighted[ids])
-        del weighted
-        # down the tree: what shorter contexts have given to each decision, and the weight that is left
-        given = np.zeros((2, len(every), 256), np.float32)
-        left = np.ones((len(every), 256), np.float32)
-        self.cost = np.zeros((len(every), 256), np.float32)
-        for d in range(tree.depth + 1):
-            ids = np.arange(len(count))[tree.nodes_of(d)]
-            if d:
-                self._down(ids, every, stop, given, left)
-            if d == tree.depth:
-                self._spell(ids, every, given, left)
-            else:
-                self._down(tree.rest[ids], every, stop, given, left)
-        self._spell(tree.rest, every, given, left)
-        self.cost = self.cost.ravel()
-
-    def _down(self, ids, every, stop, given, left) -> None:
-        up = self.tree.parent[ids]
-        for some, p in zip(np.array_split(ids, max(1, len(ids) // 4096)), np.array_split(up, max(1, len(ids) // 4096)), strict=True):
-            zeros, ones = _decisions(every[p])
-            own = left[p] * stop[p] / (zeros + ones + 1)
-            given[0, some], given[1, some] = given[0, p] + own * (zeros + 0.5), given[1, p] + own * (ones + 0.5)
-            left[some] = left[p] * (1 - stop[p])
-
-    def _spell(self, ids, every, given, left) -> None:
-        """Bits of each byte at leaves."""
-        byte = np.arange(256, 512)
-        for some in np.array_split(ids, max(1, len(ids) // 4096)):
-            zeros, ones = _decisions(every[some])
-            own = left[some] / (zeros + ones + 1)
-            bits = [-np.log2(given[0, some] + own * (zeros + 0.5)), -np.log2(given[1, some] + own * (ones + 0.5))]
-            for level in range(8):
-                place, bit = byte >> (8 - level), (byte >> (7 - level)) & 1
-                self.cost[some] += np.where(bit, bits[1][:, place], bits[0][:, place])
-
-    def bits(self, texts: list[bytes]) -> np.ndarray:
-        return self.tree.summed(texts, self.cost, end=True)
+def _key(word: bytes) -> bytes:
+    """A word by which it is counted: itself, or a digest behind a blank if it is long, so that rows and what is sent stay small."""
+    return word if len(word) <= LONG_WORD else b" " + hashlib.blake2b(word, digest_size=16).digest()
 
 
 def gathered(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
@@ -156,7 +89,7 @@ def gathered(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
         for b in batches:
             texts = [contexts.lowered(t) for t in b.column(0).to_pylist()]
             for t in texts:
-                words.update(t.split())
+                words.update(map(_key, t.split()))
             words[b""] += len(texts)
             start = 0
             while start < len(texts):
@@ -351,7 +284,7 @@ def scored(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
     dealt, parts, top = fit(counts)
     words = counts.filter(F.col("word").isNotNull()).select("word", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    often = (F.col("n") * SENT >= total) & (F.length("word") <= SENT_BYTES)
+    often = F.col("n") * SENT >= total
     head = words.filter(often).toPandas()
     shared = spark.sparkContext.broadcast({bytes(w): math.log10(n + 1) for w, n in zip(head["word"], head["n"], strict=True)})
 
@@ -370,7 +303,7 @@ def scored(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
         rid, n_tokens, n_known, sums = b["rid"].to_pylist(), [], [], []
         rare_rid, rare_word, rare_n = [], [], []
         for r, t in zip(rid, texts, strict=True):
-            tokens = Counter(t.split())
+            tokens = Counter(map(_key, t.split()))
             tokens[b""] = 1
             n, total = 0, 0.0
             for w, k in tokens.items():

@@ -17,6 +17,13 @@ the others; the model sent to the workers grows with the number of languages, by
 the distinct grams of a sample. Only these are stored; the costs of a batch are
 found for its distinct grams.
 
+A text that no language explains is told by its *plain* length: what it takes in
+the adaptive code of its bytes alone (Krichevsky-Trofimov, no context, nothing
+learnt before). ``accepted`` keeps a text whose best language has a shorter code
+than that; the rule has no threshold to set, and a few words are enough, since the
+plain code has to learn each byte first. A text that is itself among those that a
+language was learnt from counts as explained by it.
+
 Defined cases: a null text, or one without any letter, is ``und`` with score 0;
 without any training text so is every document; ties go to the language that
 sorts first; repeated rows are predicted each; null ids are kept (they count as
@@ -26,6 +33,7 @@ result; texts of any length are read whole.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -41,10 +49,6 @@ from .common import released, share_of, small_batches, staged, table
 DEPTH = 3
 #: Documents to learn each language from, about.
 SAMPLE = 1000
-#: Contexts per depth of a tree shared by languages (``PPM``), at most, for one and for all; ``Grams`` has no such bound.
-KEPT, KEPT_IN_ALL = 4096, 16384
-#: A byte of a known language in its scripts costs 1 to 5 bits, random digits and letters up to 10, one that was never seen over 15.
-MOST_BITS = 12
 #: Languages whose sampled parts are sent to every executor at most; beyond, texts are shuffled by language.
 MOST_SENT = 10_000
 LETTER = re.compile(r"[^\W\d_]")
@@ -68,58 +72,7 @@ def gram_counts(rows: DataFrame, depth: int) -> DataFrame:
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class PPM:
-    """Code lengths in bits by language, from counts of grams, in one tree of the contexts frequent in all languages."""
-
-    def __init__(self, langs: list[str], grams: list[np.ndarray], n: list[np.ndarray], depth: int = DEPTH, kept: int = KEPT):
-        self.langs = langs
-        every = np.concatenate(grams)
-        weight = np.concatenate([x / x.sum() / len(langs) for x in n])
-        kept = min(kept, max(256, KEPT_IN_ALL // len(langs)))
-        self.tree = contexts.Tree(contexts.kept_contexts(contexts.context_sums(every, weight, depth), 1 / kept))
-        self.cost = np.stack([self._costs(self.tree.counts(g, x)) for g, x in zip(grams, n, strict=True)], axis=-1).astype(np.float32).reshape(-1, len(langs))
-
-    def _costs(self, count: np.ndarray) -> np.ndarray:
-        """Bits of each byte at each node."""
-        tree = self.tree
-        total, kinds = count.sum(1), (count > 0).sum(1)
-        lower = np.zeros_like(count)  # of the bytes that a node doesn't have, once it is left
-        cost = np.zeros((tree.nodes, 256))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for d in range(tree.depth + 1):
-                at = np.arange(count.shape[0])[tree.nodes_of(d)]
-                if d:
-                    p = tree.parent[at]
-                    new = (kinds[p] - kinds[at])[:, None]
-                    room = total[p][:, None] - np.where(count[at] > 0, count[p], 0).sum(1, keepdims=True) + new
-                    below = np.where(count[p] > 0, -np.log2(count[p] / room), -np.log2(new / room) + lower[p])
-                    lower[at] = np.where(new > 0, below, lower[p])
-                else:
-                    lower[at] = np.log2(max(256 - kinds[0], 1))
-                room = (total[at] + kinds[at])[:, None]
-                seen = np.where(count[at] > 0, -np.log2(count[at] / room), -np.log2(kinds[at][:, None] / room) + lower[at])
-                cost[at] = np.where(total[at][:, None] > 0, seen, lower[at])
-        cost[tree.rest] = cost[tree.parent[tree.rest]]
-        return cost
-
-    def bits(self, texts: list[str | None]) -> np.ndarray:
-        """Code lengths of texts (rows) in languages (columns)."""
-        return self.tree.summed([contexts.lowered(t) for t in texts], self.cost, end=False)
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """Language, score and bits per byte."""
-        bits = self.bits(texts)
-        out = []
-        for t, row in zip(texts, bits, strict=True):
-            if t is None or not LETTER.search(t):
-                out.append((UNKNOWN, 0.0, 0.0))
-            else:
-                best = int(np.argmin(row))
-                out.append((self.langs[best], float(1 / np.exp2(row[best] - row).sum()), float(row[best]) / len(t.encode())))
-        return out
-
-
-class Grams(PPM):
+class Grams:
     """Code lengths in bits by language, from all contexts of each language."""
 
     def __init__(self, langs: list[str], grams: list[np.ndarray], n: list[np.ndarray], depth: int = DEPTH):
@@ -169,6 +122,18 @@ class Grams(PPM):
         out[open_] += longer[6][0]
         return out
 
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Language, score and bits per byte."""
+        bits = self.bits(texts)
+        out = []
+        for t, row in zip(texts, bits, strict=True):
+            if t is None or not LETTER.search(t):
+                out.append((UNKNOWN, 0.0, 0.0))
+            else:
+                best = int(np.argmin(row))
+                out.append((self.langs[best], float(1 / np.exp2(row[best] - row).sum()), float(row[best]) / len(t.encode())))
+        return out
+
     def bits(self, texts: list[str | None]) -> np.ndarray:
         """Code lengths of texts (rows) in languages (columns)."""
         out = np.zeros((len(texts), len(self.langs)))
@@ -201,13 +166,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Grams([x for x, _ in groups], [g["gram"].to_numpy() for _, g in groups], [g["n"].to_numpy().astype(float) for _, g in groups])
 
 
-def identified(docs: DataFrame, model: Grams | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``bits_per_byte`` added (columns of these names are replaced)."""
+def plain_bits(text: bytes) -> float:
+    """The length of a text's bytes in the adaptive code without contexts: each byte begins with half a count."""
+    counts = np.bincount(np.frombuffer(text, np.uint8), minlength=1)
+    counts = counts[counts > 0].tolist()
+    known = sum(math.lgamma(n + 0.5) for n in counts) - len(counts) * math.lgamma(0.5)
+    return (math.lgamma(len(text) + 128) - math.lgamma(128) - known) / math.log(2)
+
+
+FOUND = {"lang_pred": "string", "score": "double", "bits_per_byte": "double", "plain_bits_per_byte": "double"}
+
+
+def _identified(docs: DataFrame, model: Grams | None, text_col: str) -> DataFrame:
+    """The columns of ``docs`` by their places (c0, c1, ...), so that no name can clash, and those of ``FOUND``."""
     spark = docs.sparkSession
     small_batches(spark)
-    found = ("lang_pred", "score", "bits_per_byte")
-    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in found])
     at = docs.columns.index(text_col)
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,18 +190,26 @@ def identified(docs: DataFrame, model: Grams | None, text_col: str = "text") ->
         for b in batches:
             texts = b.column(at).to_pylist()
             got = model.predict(texts) if model else [(UNKNOWN, 0.0, 0.0)] * len(texts)
-            lang, score, bits = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*b.schema.names, *found])
+            plain = [plain_bits(x) / max(1, len(x)) for x in map(contexts.lowered, texts)]
+            columns = [*zip(*got, strict=True)] or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(columns[0], pa.string()), *(pa.array(x, pa.float64()) for x in (*columns[1:], plain))], names=[*b.schema.names, *FOUND])
         released()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, bits_per_byte double"
-    return docs.mapInArrow(run, schema)
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] + [f"{c} {kind}" for c, kind in FOUND.items()])
+    return rows.mapInArrow(run, schema)
+
+
+def identified(docs: DataFrame, model: Grams | None, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score``, ``bits_per_byte`` and ``plain_bits_per_byte`` added (columns of these names are replaced)."""
+    own = [F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in FOUND]
+    return _identified(docs, model, text_col).select(*own, *FOUND)
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without those that are ``und`` or written mostly in bytes that no language has (``MOST_BITS`` a byte)."""
-    found = identified(docs, fit(docs, id_col, text_col, lang_col), text_col)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") < MOST_BITS)).select([F.col(f"`{c}`") for c in docs.columns])
+    """``docs``, in their own columns, without those that are ``und`` or that their best language explains no better than the plain code of their bytes."""
+    found = _identified(docs, fit(docs, id_col, text_col, lang_col), text_col)
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") < F.col("plain_bits_per_byte")))
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,31 +40,20 @@ def brute_bits(train, text, depth):
     return total
 
 
-def model(trained, depth, kept=10**6):
-    got = {lang: contexts.counted(texts, depth, end=False) for lang, texts in trained.items()}
-    return langid.PPM(list(got), [g for g, _ in got.values()], [n.astype(float) for _, n in got.values()], depth, kept)
+def model(trained, depth):
+    got = [contexts.counted(texts, depth, end=False) for texts in trained.values()]
+    return langid.Grams(list(trained), [g for g, _ in got], [n.astype(float) for _, n in got], depth)
 
 
-def test_code_lengths_match_brute_force(monkeypatch):
-    monkeypatch.setattr(langid, "KEPT_IN_ALL", 10**7)
-    rng = random.Random(3)
-    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n)).encode()
-    trained = {"a": [make("aab c", 80) for _ in range(4)], "b": [make("bcd ", 60) for _ in range(3)]}
-    ppm = model(trained, 3)
-    tests = [b"", b"a", b"abc abc dd", b"zzz", make("abcd z", 50), "é".encode()]
-    got = ppm.bits([t.decode() for t in tests])
-    want = [[brute_bits(x, t, 3) for x in trained.values()] for t in tests]
-    assert np.allclose(got, want, rtol=1e-5)
-    monkeypatch.setattr(contexts, "TOGETHER", 7)  # long texts in parts
-    assert np.allclose(ppm.bits([t.decode() for t in tests]), want, rtol=1e-5)
-
-
-def test_costs_of_a_pruned_tree_are_a_proper_code():
+def test_costs_are_a_proper_code():
+    """After any context, seen or not, the 256 bytes' probabilities sum to one."""
     rng = random.Random(4)
     texts = ["".join(rng.choice("abcdef ") for _ in range(400)).encode() for _ in range(3)]
-    ppm = model({"x": texts, "y": texts[:1]}, 3, kept=40)
-    probabilities = np.exp2(-ppm.cost.reshape(-1, 256, 2).astype(float)).sum(1)
-    assert np.allclose(probabilities, 1, atol=1e-4)
+    found = model({"x": texts, "y": texts[:1]}, 3)
+    for context in (b"abc", b"aab", b"zzz", b"fzz", bytes([contexts.EDGE] * 3)):
+        grams = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)])
+        for k in (0, 1):
+            assert np.isclose(np.exp2(-found.costs(k, grams)).sum(), 1)
 
 
 def test_held_out_accuracy_on_a_whole_table(spark):
@@ -94,10 +83,65 @@ def test_defined_cases(spark, documents):
     assert {r["lang_pred"] for r in langid.identified(docs, None).collect()} == {"und"}
 
 
-def test_stage_keeps_clean_documents(spark, documents):
-    docs = documents([(k, f"the cat and dog number {k}", "en") for k in range(30)] + [(40, "12345 -- 999", "en"), (41, None, "en"), (42, "漢字" * 30, "en"), (43, "the key is 7844238401328224 b64b244acde2e3b0", None)])
-    kept = {r["doc_id"] for r in langid.accepted(docs).collect()}
-    assert kept >= {*range(30), 43} and not kept & {40, 41}
+def brute_plain_bits(text):
+    seen, total = Counter(), 0.0
+    for k, x in enumerate(text):
+        total -= math.log2((seen[x] + 0.5) / (k + 128))
+        seen[x] += 1
+    return total
+
+
+def test_plain_code_matches_brute_force():
+    for text in (b"", b"a", b"aaaa", bytes(range(256)), b"the cat and the dog" * 9):
+        assert math.isclose(langid.plain_bits(text), brute_plain_bits(text), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def junk(rng, k):
+    """Texts that have letters and are in no language."""
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    kinds = (
+        lambda: " ".join(pick("0123456789abcdef", 40) for _ in range(8)),
+        lambda: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 600),
+        lambda: pick([chr(x) for x in range(0x4E00, 0x9FA5)], 200),
+        lambda: " ".join(pick("qxzjvkwbg", 7) for _ in range(80)),
+    )
+    return kinds[k % len(kinds)]()
+
+
+def test_stage_drops_junk_and_keeps_clean_documents(spark):
+    """On a whole table with planted junk, without a language or with a false one among the held-out: all of the junk goes, of the rest no more than a few of a thousand."""
+    rng = random.Random(11)
+    label = lambda i: "en" if crc32(str(i).encode()) % 5 == 0 else None
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    planted = spark.createDataFrame([(10**9 + k, junk(rng, k), label(10**9 + k), "junk", 1) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    both = docs.unionByName(planted.select([planted[c].cast(docs.schema[c].dataType) for c in docs.columns]))
+    kept = {r["doc_id"] for r in langid.accepted(both).select("doc_id").collect()}
+    assert not [i for i in kept if i >= 10**9]
+    letters = [r["doc_id"] for r in docs.collect() if r["text"] and langid.LETTER.search(r["text"])]
+    assert len(kept) >= 0.995 * len(letters) and kept <= set(letters)
+
+
+def test_stage_leaves_columns_alone(spark, documents):
+    """Names that the operator uses itself belong to the table."""
+    docs = documents([(k, f"the cat and dog number {k}", "en") for k in range(30)] + [(40, "12345 -- 999", "en"), (41, None, "en")])
+    docs = docs.selectExpr("*", "777 AS score", "'mine' AS lang_pred", "3 AS bits_per_byte", "4 AS c0", "5 AS plain_bits_per_byte")
+    rows = langid.accepted(docs)
+    assert rows.dtypes == docs.dtypes
+    got = rows.collect()
+    assert {r["doc_id"] for r in got} == set(range(30)) and {(r["score"], r["lang_pred"], r["c0"]) for r in got} == {(777, "mine", 4)}
+
+
+def test_two_hundred_languages(spark, documents):
+    """Each with letters of its own: all are told apart, by trees of their own."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(200):
+        letters = [chr(0x400 + 8 * (k % 100) + j) for j in range(4)] + [chr(97 + (k + j) % 26) for j in range(3)]
+        rows += [(10 * k + j, " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(12)), f"l{k:03d}") for j in range(5)]
+    docs = documents(rows)
+    found = langid.identified(docs, langid.fit(docs)).collect()
+    held = [r["lang_pred"] == r["lang"] for r in found if crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert len({r["lang_pred"] for r in found}) > 190 and np.mean(held) > 0.9
 
 
 @pytest.mark.parametrize("end", [False, True])

@@ -59,26 +59,33 @@ def brute_bits(train, text, depth):
     return total
 
 
-def model(train, depth, share):
-    grams, n = contexts.counted(train, depth, end=True)
-    kept = contexts.kept_contexts(contexts.context_sums(grams, n / n.sum(), depth), share)
-    return ctw.CTW(kept, contexts.Tree(kept).counts(grams, n.astype(float)))
+class Model:
+    """All contexts in one place."""
+
+    def __init__(self, train, depth):
+        grams, n = contexts.counted(train, depth, end=True)
+        self.depth = depth
+        self.levels, _ = ctw.subtrees(grams, n.astype(float), 0, depth)
+
+    def bits(self, texts):
+        return [ctw.code_lengths(self.levels, contexts.grams([t], self.depth, end=True), self.depth).sum() for t in texts]
 
 
 def test_code_lengths_match_brute_force():
     rng = random.Random(5)
     train = ["".join(rng.choice("ab c") for _ in range(30)).encode() for _ in range(3)]
     tests = [b"", b"ab", b"abca z", train[0][:12]]
-    assert np.allclose(model(train, 2, 0).bits(tests), [brute_bits(train, t, 2) for t in tests], rtol=1e-4)
+    assert np.allclose(Model(train, 2).bits(tests), [brute_bits(train, t, 2) for t in tests], rtol=1e-4)
 
 
-def test_a_pruned_model_is_a_proper_code_and_learns():
+def test_the_model_is_a_proper_code_and_learns():
     rng = random.Random(6)
     words = ["the", "and", "ing", "ough"]
     make = lambda: " ".join(rng.choice(words) for _ in range(200)).encode()
-    m = model([make() for _ in range(20)], 4, 1 / 30)
-    leaves = np.concatenate([m.tree.rest, np.arange(m.tree.nodes)[m.tree.nodes_of(4)]])
-    assert np.allclose(np.exp2(-m.cost.reshape(-1, 256)[leaves].astype(float)).sum(1), 1, atol=1e-3)
+    m = Model([make() for _ in range(20)], 4)
+    for context in (b"the ", b"ough", b"zzzz", b"zthe"):
+        grams = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)])
+        assert np.isclose(np.exp2(-ctw.code_lengths(m.levels, grams, 4)).sum(), 1)
     text = make()
     shuffled = bytes(rng.sample(text, len(text)))
     likely, unlikely = m.bits([text, shuffled])
@@ -141,5 +148,16 @@ def test_every_context_of_the_corpus_is_learnt(spark, documents):
     tests = [*train[::40], "zyxwvut", "", None, "quite other 123", " ".join(train[:5])]
     got = {r["id"]: r["bits_per_byte"] for r in ctw.scored(documents(tests), documents(train)).collect()}
     lowered = [contexts.lowered(t) for t in tests]
-    want = model([contexts.lowered(t) for t in train], ctw.DEPTH, 0).bits(lowered)
+    want = Model([contexts.lowered(t) for t in train], ctw.DEPTH).bits(lowered)
     assert np.allclose([got[k] * max(1, len(t)) for k, t in enumerate(lowered)], want, rtol=1e-4)
+
+
+def test_long_words_are_counted_by_digest(spark, documents):
+    """A long word that stands in every document, and one that stands in one."""
+    often, once = "u" * 70 + "/" + "v" * 5000, "w" * 90
+    docs = documents([(k, f"{often} word{k}") for k in range(20)] + [(20, once), (21, once + "x")])
+    rows = {r["id"]: r for r in ctw.scored(docs, docs.filter("doc_id <> 21")).collect()}
+    n, v = 20 * 3 + 2, 20 + 2 + 1
+    base = lambda *counts: sum(math.log10((c + 1) / (n + v + 1)) for c in counts)
+    assert [(rows[k]["n_tokens"], rows[k]["n_known"]) for k in (0, 20, 21)] == [(3, 3), (2, 2), (2, 1)]
+    assert all(math.isclose(rows[k]["base_score"], x, rel_tol=1e-9) for k, x in ((0, base(20, 1, 21)), (20, base(1, 21)), (21, base(0, 21))))
