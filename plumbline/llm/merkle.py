@@ -7,23 +7,24 @@ points is cut behind words whose checksum is a multiple of ``EVERY``, and its
 words over ``LONG_WORD`` code points (Chinese, Thai, base64) where the checksum
 of the last ``ROLLED`` code points is one of ``EVERY_POINT``. A sentence of up to
 ``LONG`` code points is one leaf: of texts that have no more, a part that is
-replaced leaves a likeness of 0. Leaves are
-digests of the sentences' bytes; a node is a digest of its kind and of its
-children's digests.
+replaced leaves a likeness of 0. A leaf is a digest of 64 bits of its sentence's
+bytes, the same wherever the sentence stands; a node is a digest of its kind and
+of its children's digests, up to the root, which the leaves alone rebuild.
 
 A fingerprint is the whole tree as text, ``root|section;section;...``, where a
-section is ``digest:paragraph,paragraph,...`` and a paragraph is its digest in
-16 hexadecimal digits and, if it has more than one leaf, its leaves in 8 each,
-joined by ``.``. Equal roots mean equal texts. Differing sections lead to the
-differing paragraphs and sentences, whose places ``differing`` gives. The
+section is ``digest:paragraph,paragraph,...`` and a paragraph its leaves in 16
+hexadecimal digits each, joined by ``.``. Equal texts have equal roots, and
+unlike texts unlike ones but for collisions of digests. Differing sections lead
+to the differing paragraphs and sentences, whose places ``differing`` gives. The
 likeness of two fingerprints is the share of leaves that they have in common:
 twice the common leaves (each as often as both have it) over all leaves of both,
 and 1 for equal roots.
 
 ``neighbours`` hands each row the next one by descending id (after the last the
 first). A pass over ids and hashes of texts finds the first keys of ranges of
-like size; then each row goes to its range, and the first row of a range to the
-one before as well, where it is the last row's next. So texts are shuffled once.
+like size, as many as shuffle partitions, which are sent to all workers; then each
+row goes to its range, and the first row of a range to the one before as well,
+where it is the last row's next. So texts are shuffled once.
 
 Defined cases: a null text is empty; an empty text has one empty leaf; rows with
 the same id are ordered by a hash of the text; null ids come last; a single row
@@ -35,12 +36,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, text_or_empty
@@ -114,33 +116,34 @@ def _node(kind: bytes, children: list[str], size: int) -> str:
 def fingerprint(text: str | None) -> str:
     sections, digests = [], []
     for section in tree(text or ""):
-        paragraphs = []
-        for leaves in section:
-            own = [hashlib.blake2b(x.encode(), digest_size=16).hexdigest() for x in leaves]
-            digest = _node(b"p", own, 8)
-            paragraphs.append((digest, ".".join([digest, *(x[:8] for x in own)]) if len(own) > 1 else digest))
-        digests.append(_node(b"s", [d for d, _ in paragraphs], 8))
-        sections.append(digests[-1] + ":" + ",".join(x for _, x in paragraphs))
-    whole = hashlib.blake2b((text or "").encode(), digest_size=16).hexdigest()
-    return _node(b"r", [whole, *digests], 16) + "|" + ";".join(sections)
-
-
-def read(mark: str) -> tuple[str, list[tuple[str, list[tuple[str, list[str]]]]]]:
-    """Root, and sections (digest, paragraphs (digest, leaves)); a paragraph of one leaf has its digest as the leaf."""
+        leaves = [[hashlib.blake2b(x.encode(), digest_size=8).hexdigest() for x in paragraph] for paragraph in section]
+        digests.append(_node(b"s", [_node(b"p", x, 8) for x in leaves], 8))
+        sections.append(digests[-1] + ":" + ",".join(".".join(x) for x in leaves))
+    return _node(b"r", digests, 16) + "|" + ";".join(sections)
+
+
+def read(mark: str) -> tuple[str, list[tuple[str, list[list[str]]]]]:
+    """Root, and sections (digest, the leaves of each paragraph)."""
     root, _, rest = mark.partition("|")
     sections = []
     for section in rest.split(";"):
         digest, _, paragraphs = section.partition(":")
-        parts = [x.split(".") for x in paragraphs.split(",")]
-        sections.append((digest, [(p[0], p[1:] or [p[0][:8]]) for p in parts]))
+        sections.append((digest, [x.split(".") for x in paragraphs.split(",")]))
     return root, sections
 
 
+def verified(mark: str) -> bool:
+    """Whether the leaves of a fingerprint rebuild its sections' digests and its root."""
+    root, sections = read(mark)
+    digests = [_node(b"s", [_node(b"p", x, 8) for x in paragraphs], 8) for _, paragraphs in sections]
+    return digests == [d for d, _ in sections] and root == _node(b"r", digests, 16)
+
+
 def likeness(a: str, b: str) -> float:
     (root_a, sections_a), (root_b, sections_b) = read(a), read(b)
     if root_a == root_b:
         return 1.0
-    x, y = (Counter(leaf for _, ps in s for _, leaves in ps for leaf in leaves) for s in (sections_a, sections_b))
+    x, y = (Counter(leaf for _, paragraphs in s for leaves in paragraphs for leaf in leaves) for s in (sections_a, sections_b))
     return 2 * (x & y).total() / (x.total() + y.total())
 
 
@@ -153,7 +156,7 @@ def differing(a: str, b: str) -> list[tuple[int, int]]:
     for k, (digest, paragraphs) in enumerate(left):
         other = right[k] if k < len(right) else ("", [])
         if digest != other[0]:
-            out += [(k, j) for j, (p, _) in enumerate(paragraphs) if j >= len(other[1]) or other[1][j][0] != p]
+            out += [(k, j) for j, leaves in enumerate(paragraphs) if j >= len(other[1]) or other[1][j] != leaves]
     return out
 
 
@@ -176,12 +179,9 @@ TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.flo
 NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 
-def _bucket(key: Column, firsts: list[Column], low: int, high: int) -> Column:
-    """By a tree of comparisons: the last of the falling ``firsts`` that the key doesn't exceed, and whether it is the key."""
-    if high - low == 1:
-        return F.struct(F.lit(low).alias("bucket"), (key == firsts[low]).alias("is_first"))
-    mid = (low + high) // 2
-    return F.when(key <= firsts[mid], _bucket(key, firsts, mid, high)).otherwise(_bucket(key, firsts, low, mid))
+def _order(key: object, tie: int) -> tuple:
+    """Keys in rising order, null first."""
+    return (0, tie) if key is None else (1, key, tie)
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,20 +189,30 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("tie", F.bitwise_not(F.xxhash64("text")))
-    id_type = rows.schema["id"].dataType
-    kind = id_type.simpleString()
+    kind = rows.schema["id"].dataType.simpleString()
     # the first keys of ranges of like size, as many as partitions
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = rows.select("id", "tie").repartitionByRange(parts, F.col("id").desc_nulls_last(), F.col("tie").desc())
     found = keys.groupBy(F.spark_partition_id().alias("part")).agg(F.max(F.struct("id", "tie")).alias("first")).orderBy("part").collect()
-    firsts = [F.struct(F.lit(r["first"]["id"]).cast(id_type).alias("id"), F.lit(r["first"]["tie"]).cast("long").alias("tie")) for r in found]
-    if not firsts:
+    rising = [_order(r["first"]["id"], r["first"]["tie"]) for r in reversed(found)]
+    if not rising:
         return spark.createDataFrame([], f"id {kind}, {RESULT}")
-    placed = rows.withColumn("at", _bucket(F.struct("id", "tie"), firsts, 0, len(firsts)))
-    ahead = F.pmod(F.col("at.bucket") - 1, F.lit(len(firsts)))
-    own, guest = F.struct(F.col("at.bucket").alias("bucket"), F.lit(False).alias("guest")), F.struct(ahead.alias("bucket"), F.lit(True).alias("guest"))
-    sent = placed.select("id", "text", "tie", F.explode(F.when(F.col("at.is_first"), F.array(own, guest)).otherwise(F.array(own))).alias("to")).select("to.*", "id", "tie", "text")
-    sent = sent.repartitionById(len(firsts), "bucket").sortWithinPartitions("bucket", "guest", F.col("id").desc_nulls_last(), F.col("tie").desc(), "text")
+    n = len(rising)
+    shared = spark.sparkContext.broadcast(rising)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with its range, and the first ones of a range once more as guests of the range before."""
+        rising = shared.value
+        for b in batches:
+            keys = [_order(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            at = [n - 1 - bisect_left(rising, k) for k in keys]
+            guests = [k for k, x in enumerate(keys) if rising[n - 1 - at[k]] == x]
+            rows = [*range(len(keys)), *guests]
+            bucket = [*at, *((at[k] - 1) % n for k in guests)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([k >= len(keys) for k in range(len(rows))]), *(c.take(pa.array(rows)) for c in (b.column(0), b.column(1), b.column(2)))], names=["bucket", "guest", "id", "tie", "text"])
+
+    sent = rows.select("id", "tie", "text").mapInArrow(deal, f"bucket int, guest boolean, id {kind}, tie long, text string")
+    sent = sent.repartitionById(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("id").desc_nulls_last(), F.col("tie").desc(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row of a bucket meets the next one, the last one the bucket's guest."""
