@@ -18,10 +18,16 @@ The classifier learns from about ``SAMPLE`` URLs of each class, taken by a hash
 of the URL (a documented bound); one in ``CALIBRATED`` of these only calibrates.
 Distinct URLs count once. All URLs are judged, whole.
 
-Defined cases: a null url, and one without ``://`` or with an empty host, has no
-rule and is blocked; without sampled URLs of both classes every other URL is
-allowed; ties at the threshold are allowed; repeated rows are judged each; null
-ids are kept; an empty table gives an empty result; other columns are ignored.
+Rules are a table. It is joined to the suffixes of the distinct hosts, so that
+each host gets the rules of its domains, and these to the URLs by host; so the
+plan doesn't grow with the rules. What is joined is sent to every executor up to
+``MOST_SENT`` rows and shuffled beyond.
+
+Defined cases: a null url counts as empty; it, and one without ``://``, has an
+empty host and no rule, and is judged like any other; without sampled URLs of both
+classes every URL that no rule decides is allowed; ties at the threshold are
+allowed; repeated rows are judged each; null ids are kept; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +40,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contexts
-from .common import ascii_lower, small_batches, table
+from .common import ascii_lower, small_batches, staged, table
 
 #: host, path, whether URLs that it fits are allowed
 RULES = [("net", "/", False), ("example.net", "/en/", True), ("example.com", "/de/", False), ("org", "/fr/", True)]
 DEPTH, KEPT, SAMPLE, CALIBRATED = 4, 4096, 20_000, 5
+#: Rules, and hosts with rules, that are sent to every executor at most.
+MOST_SENT = 100_000
 
 
 def parted(url: Column) -> tuple[Column, Column]:
@@ -47,11 +55,21 @@ def parted(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"(?s)^[^/?#]*+", 0)), F.regexp_extract(rest, r"(?s)^[^/?#]*+([^?#]*)", 1)
 
 
-def fits(rule: tuple[str, str, bool], host: Column, path: Column) -> Column:
-    return ((host == rule[0]) | host.endswith("." + rule[0])) & path.startswith(rule[1])
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, bool]] = RULES) -> DataFrame:
+    return spark.createDataFrame(rules, "host string, path string, allowed boolean")
 
 
-def ruled(pages: DataFrame, rules: list[tuple[str, str, bool]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, rules: of the distinct hosts those that a rule's host fits, with their rules as (length, rule, path, allowed)."""
+    labels = F.split("host", "[.]", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    domains = hosts.filter("host <> ''").select("host", F.explode(suffixes).alias("domain"))
+    own = rules.select(F.col("host").alias("domain"), F.struct(F.length(F.concat("host", "path")).alias("length"), F.concat("host", "path").alias("rule"), "path", "allowed").alias("r"))
+    few = rules.count() <= MOST_SENT
+    return domains.join(F.broadcast(own) if few else own, "domain").groupBy("host").agg(F.collect_list("r").alias("rules"))
+
+
+def ruled(pages: DataFrame, rules: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: id, host, path, rule, allowed (null where no rule fits), url (whole, scheme and host lower-cased)."""
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"))
     host, path = parted(F.col("url"))
@@ -59,11 +77,12 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str, bool]] = RULES, id_col:
     whole = F.concat(ascii_lower(scheme), F.lit("://"), host, F.substr(F.col("url"), F.length(scheme) + 4 + F.length(host)))
     whole = F.when(F.contains(F.col("url"), F.lit("://")), whole).otherwise(F.col("url"))
     rows = rows.select("id", host.alias("host"), path.alias("path"), whole.alias("url"))
-    rule, allowed = F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    for r in sorted(rules, key=lambda r: len(r[0] + r[1])):  # a longer one that fits overrides
-        hit = fits(r, F.col("host"), F.col("path"))
-        rule, allowed = F.when(hit, r[0] + r[1]).otherwise(rule), F.when(hit, F.lit(r[2])).otherwise(allowed)
-    return rows.select("id", "host", "path", rule.alias("rule"), allowed.alias("allowed"), "url")
+    found = staged(host_rules(rows.select("host").distinct(), rules if rules is not None else rule_table(pages.sparkSession)), "url-rules")
+    few = found.count() <= MOST_SENT
+    # the longest rule that fits; of equally long ones the last by name
+    best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])))
+    joined = rows.join(F.broadcast(found) if few else found, "host", "left").withColumn("best", best)
+    return joined.select("id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.allowed").alias("allowed"), "url")
 
 
 class Ratio:
@@ -133,14 +152,13 @@ def judged(rows: DataFrame, model: Ratio | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            host, allowed, url = (b.column(k).to_pylist() for k in (1, 4, 5))
-            if model is None or not host:
-                ratio = np.zeros(len(host))
+            allowed, url = (b.column(k).to_pylist() for k in (4, 5))
+            if model is None or not url:
+                ratio = np.zeros(len(url))
             else:
                 ratio = model.ratios([u.encode() for u in url])
             limit = model.threshold if model else 0.0
-            own = (bool(h) and r >= limit for h, r in zip(host, ratio, strict=True))
-            verdict = ["allow" if (o if a is None else a) else "block" for a, o in zip(allowed, own, strict=True)]
+            verdict = ["allow" if (r >= limit if a is None else a) else "block" for a, r in zip(allowed, ratio, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ratio, pa.float64()), pa.array(verdict, pa.string())], names=[*b.schema.names, "ratio", "verdict"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, rule string, allowed boolean, url string, ratio double, verdict string")

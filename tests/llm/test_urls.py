@@ -1,4 +1,6 @@
+import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -76,7 +78,9 @@ def test_undecided_urls_follow_those_they_resemble(spark):
     rows += [(200, "http://casino77.bet.com/win/5"), (201, "http://www.example.com/en/news/77"), (202, None)]
     found = urls.ruled(spark.createDataFrame(rows, "page_id long, url string"))
     got = {r["id"]: r["verdict"] for r in urls.judged(found, urls.fit(found)).collect()}
-    assert (got[200], got[201], got[202]) == ("block", "allow", "block")
+    model = urls.fit(found)
+    assert (got[200], got[201]) == ("block", "allow")
+    assert got[202] == ("allow" if model.ratios([b""])[0] >= model.threshold else "block")  # judged like any other
 
 
 def test_defined_cases(spark, pages):
@@ -93,3 +97,29 @@ def test_queries_and_fragments_are_judged(spark):
     got = {r["id"]: r for r in urls.judged(found, urls.fit(found)).collect()}
     assert (got[200]["verdict"], got[201]["verdict"]) == ("block", "allow")
     assert got[200]["url"] == "http://q.info/?win=casino77#cash"
+
+
+def test_verdicts_on_a_whole_table(spark):
+    """Those of undecided URLs, by the fitted model's ratio and threshold; and the share of held-out decided URLs that the model gets right."""
+    rows = urls.ruled(spark.read.parquet(f"{SF}/pages.parquet"))
+    model = urls.fit(rows)
+    found = urls.judged(rows, model).collect()
+    for r in found:
+        assert math.isclose(r["ratio"], model.ratios([r["url"].encode()])[0], rel_tol=1e-6)
+        if r["allowed"] is None:
+            assert r["verdict"] == ("allow" if r["ratio"] >= model.threshold else "block")
+    decided = sorted({(r["url"], r["allowed"]) for r in found if r["allowed"] is not None})
+    held = [x for x in decided if zlib.crc32(x[0].encode()) % 4 == 0]
+    learned = spark.createDataFrame([x for x in decided if x not in set(held)], "url string, allowed boolean")
+    model = urls.fit(learned)
+    right = [(r >= model.threshold) == allowed for r, (_, allowed) in zip(model.ratios([u.encode() for u, _ in held]), held, strict=True)]
+    assert len(held) > 20 and np.mean(right) > 0.9
+
+
+def test_many_rules_by_shuffle(spark, pages, monkeypatch):
+    """The same rules among thousands of others, joined by a shuffle."""
+    more = [(f"d{k}.example.org", f"/p{k}/", k % 2 == 0) for k in range(3000)]
+    monkeypatch.setattr(urls, "MOST_SENT", 2)
+    for r in urls.ruled(pages, urls.rule_table(spark, urls.RULES + more)).collect():
+        host, path, rule = brute(URLS[r["id"]])
+        assert (r["host"], r["path"], r["rule"], r["allowed"]) == (host, path, rule and rule[0] + rule[1], rule and rule[2])
