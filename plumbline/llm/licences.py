@@ -11,8 +11,8 @@ texts, the digests of as many words as these have are compared. A run adds to
 ``licences`` alone; it counts as no line.
 
 The known texts are a parameter (a table of ``spdx`` and ``text``); they are
-sent to every executor while there are at most ``MOST_SENT`` of them, and
-joined by a shuffle beyond.
+sent to every executor while there are at most ``MOST_SENT`` of them; beyond,
+those that occur are found among the distinct digests, and sent if these are few.
 
 Only DataFrame functions are used. Defined cases: null and empty texts hold no
 licence (a unit that normalises to nothing is not looked up); an empty table
@@ -138,7 +138,14 @@ def scan_licences(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     units = parts.select("rid", "id", F.size("lines").alias("n_lines"), units.alias("unit", "part"))
     units = units.withColumn("norm", canonical(F.col("part"))).withColumn("digest", F.when(F.col("norm") != "", F.md5("norm")))
     units = units.select("rid", "id", "n_lines", "unit", "digest")
-    found = units.join(F.broadcast(digests) if known.count() <= MOST_SENT else digests, "digest", "left")
+    if known.count() > MOST_SENT:
+        # only those that occur, found among distinct digests, so that a line that many texts have is one row of a shuffle
+        digests = staged(units.filter(F.col("digest").isNotNull()).select("digest").distinct().join(digests, "digest"), "licence-digests")
+    few = digests.count() <= MOST_SENT
+    # units that normalise to nothing have keys of their own, which meet nothing
+    keyed = units.withColumn("key", F.coalesce("digest", F.concat(F.lit("-"), F.col("rid").cast("string"))))
+    own = digests.withColumnRenamed("digest", "key")
+    found = keyed.join(F.broadcast(own) if few else own, "key", "left").drop("key")
     found = found.unionByName(runs(rows, known), allowMissingColumns=True)
     is_line = (F.col("unit") > 0) | (F.col("n_lines") == 1)
     return found.groupBy("rid").agg(

@@ -70,3 +70,16 @@ def test_full_texts_and_runs_of_lines(spark, documents, known):
     assert [name in got[k]["licences"].split(",") for k, name in enumerate(whole)] == [True] * 6
     assert [got[k]["licences"] for k in range(6, 10)] == ["MIT", "Apache-2.0", "Apache-2.0", ""]
     assert got[6]["whole_licence"] is None and got[6]["n_licence_lines"] == 0
+
+
+def test_more_known_texts_than_are_sent(spark, documents, known, monkeypatch):
+    docs = documents(TEXTS * 3)
+    want = sorted(map(str, licences.scan_licences(docs, known).drop("rid").collect()))
+    monkeypatch.setattr(licences, "MOST_SENT", 3)
+    assert sorted(map(str, licences.scan_licences(docs, known).drop("rid").collect())) == want
+
+
+def test_query_finds_entire_licences(spark, documents, written):
+    text = (licences.FULL_TEXTS / "Apache-2.0.txt").read_text()
+    rows = licences.op3_licences(spark, written(documents=documents([text, "Copyright 2001 me\n" + text.upper(), "some " + text, "word " * 200_000]))).orderBy("doc_id").collect()
+    assert [r["whole_licence"] for r in rows] == ["Apache-2.0", "Apache-2.0", None, None]
