@@ -7,7 +7,8 @@ the most code points stays, then the smallest id (a null id comes last).
 Rows of a group meet as partial aggregates, so a group that holds a third of
 all rows costs each task one row. Bytes are compared only for hashes that occur
 more than once: those texts are grouped by (hash, text itself), and a hash
-under which several texts turn up is split by text from then on.
+under which several texts turn up is split by text from then on. Texts that very
+many rows have are met where they are and pre-aggregated, at any size.
 
 Defined cases: an empty table gives an empty result; empty and null texts form
 one group; repeated rows (same id, same text) are one document, each of its
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, staged, table, text_or_empty
 
-#: Hashes of repeated texts to send to every executor at most (16 bytes each); beyond, both sides are shuffled.
-MOST_SENT = 1_000_000
+#: Hashes of repeated texts to send to every executor at most (16 bytes each); beyond, rows are shuffled to those that occur less than ``OFTEN`` times.
+MOST_SENT, OFTEN = 1_000_000, 10_000
 
 
 def without_spaces(text: Column) -> Column:
@@ -47,9 +48,8 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = norm.withColumn("h", digest(F.col("norm")))
     rows = staged(full.select("id", "n_chars", "h", F.sha2("norm", 256).alias("text_sha256")), "dedup-rows")
 
-    repeated = staged(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "dedup-repeated")
-    few = repeated.count() <= MOST_SENT
-    texts = full.select("h", "norm").join(F.broadcast(repeated) if few else repeated, "h", "left_semi")
+    repeated = staged(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "dedup-repeated")
+    texts = of_repeated(full.select("h", "norm"), repeated)
     shared = staged(texts.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("h"), "dedup-shared")
     if shared.isEmpty():
         rows = rows.withColumn("variant", F.lit(""))
@@ -65,6 +65,19 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return joined.select("id", F.col("n_chars").cast("long").alias("n_chars"), "h", "text_sha256", "variant", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"))
 
 
+def of_repeated(full: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows whose hash is in ``repeated`` (h, n), without a shuffle by a hash that very many rows have.
+
+    If there are too many hashes to send, those of often repeated texts are sent, being few
+    (at most one in ``OFTEN`` rows), and rows are shuffled to the others.
+    """
+    if repeated.count() <= MOST_SENT:
+        return full.join(F.broadcast(repeated.select("h")), "h", "left_semi")
+    often, others = (repeated.filter(x).select("h") for x in (F.col("n") >= OFTEN, F.col("n") < OFTEN))
+    sent = F.broadcast(often) if often.count() <= MOST_SENT else often
+    return full.join(sent, "h", "left_semi").unionByName(full.join(sent, "h", "left_anti").join(others, "h", "left_semi"))
+
+
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class of equal texts, in its own columns."""
     stay = staged(exact_classes(docs, id_col, text_col).filter("kept").select("h", "variant", F.col("id").alias("stay_id")), "dedup-stay")

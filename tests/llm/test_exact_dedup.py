@@ -58,3 +58,14 @@ def test_dropping_keeps_columns_and_one_row(spark, documents):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None"]
     assert exact_dedup.drop_exact(documents([])).count() == exact_dedup.exact_classes(documents([])).count() == 0
+
+
+def test_more_repeated_hashes_than_are_sent(spark, documents, monkeypatch):
+    """Often repeated texts, seldom repeated ones and single ones, beyond what is sent; one digest for all of a kind, so that bytes decide."""
+    rows = [(k, ["", "often the same", f"pair {k // 2}", f"alone {k}"][k % 4 if k < 80 else 2]) for k in range(120)] + [(500, "x " * 300_000), (501, "x" * 300_000)]
+    want = sorted(map(str, exact_dedup.exact_classes(documents(rows)).collect()))
+    monkeypatch.setattr(exact_dedup, "MOST_SENT", 5)
+    monkeypatch.setattr(exact_dedup, "OFTEN", 10)
+    assert sorted(map(str, exact_dedup.exact_classes(documents(rows)).collect())) == want
+    merged = exact_dedup.exact_classes(documents(rows), digest=lambda c: exact_dedup.md5_128(exact_dedup.F.substring(c, 1, 1))).drop("h", "variant")
+    assert sorted(map(str, merged.collect())) == sorted(map(str, exact_dedup.exact_classes(documents(rows)).drop("h", "variant").collect()))
