@@ -5,8 +5,8 @@ word, two adjacent bytes that stand side by side in no token of the vocabulary
 can't end up in one token, so the word is cut between them; the fragments are
 encoded independently by rank-ordered merges and their ids laid end to end.
 
-The vocabulary is a tokenizers file (a parameter), read on the driver and sent
-to the workers. Words are matched by the ``regex`` module. It may know newer
+The vocabulary is a tokenizers file (a parameter; by default one of the public
+tokenizers), read on the driver and sent to the workers. Words are matched by the ``regex`` module. It may know newer
 characters than the tokenizers library, so a text with a code point that is
 unassigned in Python's own Unicode tables is cut into words by the library's
 pre-tokeniser instead.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import released, small_batches, table
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k.json"
 # The pattern of byte-level pre-tokenisation.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that are kept with their ids, and the longest of them.
@@ -44,6 +44,13 @@ SCANNED = 48
 BLOCK, LONG_TEXT = 100_000, 1 << 20
 
 
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where a vocabulary file of the public tokenizers is installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def byte_letters() -> dict[str, int]:
     """The characters that stand for bytes in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -193,12 +200,12 @@ def _built(vocabulary: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(vocabulary)
 
 
-def read_vocabulary(path: str = VOCABULARY) -> str:
-    with open(path, encoding="utf-8") as f:
+def read_vocabulary(path: str | None = None) -> str:
+    with open(path or vocabulary_path(), encoding="utf-8") as f:
         return f.read()
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Per row: id and ``ids``, an array of token ids."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     rows = _of(docs, id_col, text_col)
@@ -213,7 +220,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
-def with_ids(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+def with_ids(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with ``ids``, an array of token ids, in the place of the text (a column ``ids`` is replaced)."""
     small_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
@@ -230,7 +237,7 @@ def with_ids(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) ->
     return rows.mapInArrow(run, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest) + ", ids array<int>")
 
 
-def decoded(rows: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str = VOCABULARY) -> DataFrame:
+def decoded(rows: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """Per row: id and the text of its ``ids``; null ids decode to an empty text."""
     vocabulary = rows.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     rows = _of(rows, id_col, ids_col)
@@ -243,7 +250,7 @@ def decoded(rows: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string")
 
 
-def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     rows = _of(docs, id_col, text_col)

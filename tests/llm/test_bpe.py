@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from plumbline.llm import bpe
 
 SF = "/root/testdata/sf0.01"
-LIBRARY = Tokenizer.from_file(bpe.VOCABULARY)
+LIBRARY = Tokenizer.from_file(bpe.vocabulary_path())
 OWN = bpe.ForcedBoundaryBPE(bpe.read_vocabulary())
 
 

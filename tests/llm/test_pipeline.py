@@ -11,7 +11,7 @@ import corpus_pipeline
 from plumbline.llm import bpe, common, langid, mixing
 
 SF = "/root/testdata/sf0.001"
-LIBRARY = Tokenizer.from_file(bpe.VOCABULARY)
+LIBRARY = Tokenizer.from_file(bpe.vocabulary_path())
 SPACES = dict.fromkeys(map(ord, common.SPACES))
 
 
