@@ -78,6 +78,12 @@ def between(start: str, end: str) -> str:
     return f"substring(array_join(slice(pieces, {first} + 1, {last} - {first} + 1), ''), ({start}) % {PIECE} + 1, ({end}) - ({start}))"
 
 
+def beside(start: str, size: str | int) -> str:
+    """SQL: ``size`` code points (``PIECE`` at most, or up to the end) from ``start`` on, from the two ``pieces`` that they are in."""
+    first = f"int(({start}) div {PIECE})"
+    return f"substring(concat(coalesce(get(pieces, {first}), ''), coalesce(get(pieces, {first} + 1), '')), ({start}) % {PIECE} + 1, {size})"
+
+
 def in_pieces(rows: DataFrame, text: str, when: str) -> DataFrame:
     """``pieces``: the text in pieces of ``PIECE`` code points, for rows where they are wanted."""
     return rows.withColumn("pieces", F.expr(f"CASE WHEN {when} THEN regexp_extract_all({text}, r'(?s).{{1,{PIECE}}}', 0) END"))
@@ -114,8 +120,8 @@ def _listed(spans: str | Column, kind: str) -> Column:
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.8, support: int = 3) -> DataFrame:
     """Per row: rid (a number of the row), id, the base spans by kind, and ``term`` spans."""
     every = F.concat(*[F.expr(f"transform({k}, x -> struct('{k}' AS kind, x.start, x.end, x.value))") for k in KINDS])
-    first, last = f"greatest(s.start - {NEAR}, 0)", f"least(s.end + {NEAR}, length(t))"
-    window = f"concat({between(first, 's.start')}, repeat(' ', s.end - s.start), {between('s.end', last)})"
+    first = f"greatest(s.start - {NEAR}, 0)"
+    window = f"concat({beside(first, f'least(s.start, {NEAR})')}, repeat(' ', s.end - s.start), {beside('s.end', NEAR)})"
     near = F.expr(f"transform(every, s -> struct(concat_ws(':', s.kind, lower(s.value)) AS entity, {first} AS at, {window} AS around))")
     rows = in_pieces(base_spans(docs, id_col, text_col).withColumn("every", every), "t", "size(every) > 0").withColumn("near", F.when(F.size("every") > 0, near))
     rows = staged(rows.select(F.monotonically_increasing_id().alias("rid"), "id", *KINDS, "near"), "pii-base")

@@ -133,6 +133,6 @@ def test_windows_over_the_edges_of_pieces(spark, documents, monkeypatch):
     texts = [f"{'é pad ' * k}Quixote joe@example.org 10.0.0.{k} +44 20 7946 0958 \U0001f600 Sancho Quixote joe@example.org" for k in range(15, 24)]
     docs = documents(texts + [None, "", "word " * 50])
     whole = [sorted(map(str, f(docs).drop("rid").collect())) for f in (pii.find_personal, pii.sanitised)]
-    monkeypatch.setattr(pii, "PIECE", 7)
+    monkeypatch.setattr(pii, "PIECE", 83)
     monkeypatch.setattr(pii, "BLOCK", 2)
     assert [sorted(map(str, f(docs).drop("rid").collect())) for f in (pii.find_personal, pii.sanitised)] == whole
