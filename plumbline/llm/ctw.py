@@ -74,6 +74,11 @@ def _key(word: bytes) -> bytes:
     return word if len(word) <= LONG_WORD else b" " + hashlib.blake2b(word, digest_size=16).digest()
 
 
+def _words(text: bytes) -> list[bytes]:
+    words = text.split()
+    return [*map(_key, words)] if max(map(len, words), default=0) > LONG_WORD else words
+
+
 def gathered(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
     """word, gram, n: over all rows the counts of words (the empty one is the end) and of grams."""
     small_batches(docs.sparkSession)
@@ -89,7 +94,7 @@ def gathered(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
         for b in batches:
             texts = [contexts.lowered(t) for t in b.column(0).to_pylist()]
             for t in texts:
-                words.update(map(_key, t.split()))
+                words.update(_words(t))
             words[b""] += len(texts)
             start = 0
             while start < len(texts):
@@ -303,7 +308,7 @@ def scored(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
         rid, n_tokens, n_known, sums = b["rid"].to_pylist(), [], [], []
         rare_rid, rare_word, rare_n = [], [], []
         for r, t in zip(rid, texts, strict=True):
-            tokens = Counter(map(_key, t.split()))
+            tokens = Counter(_words(t))
             tokens[b""] = 1
             n, total = 0, 0.0
             for w, k in tokens.items():
