@@ -12,13 +12,19 @@ The patterns below find the same matches in linear time: quantifiers that never
 need to give back are possessive, and a match doesn't start where an earlier
 start of the same run has failed already.
 
-The information-theoretic step takes each value found (the entity e) and the
-words near it (the terms t). Over all documents it counts how many hold t, e,
-and t near e, and takes as disclosure the share of the entity's information
-that the term gives away, PMI(t; e) / IC(e) = ln(n_te N / (n_t n_e)) / ln(N / n_e).
-A term is sanitised beside e when the disclosure reaches ``disclosure`` and the
-two were seen in at least ``support`` different contexts (copies of one passage
-are one context). Such terms are added as spans of kind ``term``.
+The information-theoretic step takes as entities each value found and what it
+shares with others: an email's domain, the first three parts of an ip, the first
+six digits of a card, the digits of a phone but for the last four. So values that
+occur once still count together. The terms t are the words of two letters or more
+within ``NEAR`` code points of a value. Over all documents it counts how many hold
+t, how many e, and how many t near e, and takes as disclosure the share of the
+entity's information that the term gives away,
+PMI(t; e) / IC(e) = ln(n_te N / (n_t n_e)) / ln(N / n_e). A term is telling when its
+disclosure of some entity reaches ``disclosure`` and the two were seen in at least
+``support`` documents and as many different contexts (copies of one passage are one
+context; what was seen less often is no estimate). A telling term discloses its entity wherever it
+stands, so each of its occurrences in all texts becomes a span of kind ``term``,
+with or without the value beside it.
 
 The work grows with the text, not with the square of its matches: places of
 matches are summed in blocks of ``BLOCK`` matches, windows are cut from pieces of
@@ -47,11 +53,13 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 BYTE_PART = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-TERM = r"\p{L}{4,}"
+TERM = r"\p{L}{2,}"
 #: Code points on either side of a value that count as near it.
 NEAR = 80
 
 SPAN = "struct<start:int,end:int,value:string>"
+#: Telling terms to send to every executor at most; beyond, the words of all texts are shuffled to them.
+MOST_SENT = 100_000
 #: Matches whose places are summed together; code points of the pieces that windows are cut from.
 BLOCK, PIECE = 500, 1024
 
@@ -112,6 +120,15 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows
 
 
+#: By kind what a value shares with others of its domain or block of numbers.
+BLOCKS = {
+    "email": "regexp_extract(lower(s.value), '@.*$', 0)",
+    "ip": "regexp_replace(s.value, '[0-9]+$', '*')",
+    "card": f"concat(left({_digits('s.value')}, 6), '*')",
+    "phone": f"concat(left({_digits('s.value')}, length({_digits('s.value')}) - 4), '*')",
+}
+
+
 def _listed(spans: str | Column, kind: str) -> Column:
     spans = F.col(spans) if isinstance(spans, str) else spans
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
@@ -119,35 +136,38 @@ def _listed(spans: str | Column, kind: str) -> Column:
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = 0.8, support: int = 3) -> DataFrame:
     """Per row: rid (a number of the row), id, the base spans by kind, and ``term`` spans."""
-    every = F.concat(*[F.expr(f"transform({k}, x -> struct('{k}' AS kind, x.start, x.end, x.value))") for k in KINDS])
+    shared = {k: f"transform({k}, s -> struct(s.start, s.end, array(concat('{k}:', lower(s.value)), concat('{k}:', {BLOCKS[k]})) AS entities))" for k in KINDS}
     first = f"greatest(s.start - {NEAR}, 0)"
     window = f"concat({beside(first, f'least(s.start, {NEAR})')}, repeat(' ', s.end - s.start), {beside('s.end', NEAR)})"
-    near = F.expr(f"transform(every, s -> struct(concat_ws(':', s.kind, lower(s.value)) AS entity, {first} AS at, {window} AS around))")
-    rows = in_pieces(base_spans(docs, id_col, text_col).withColumn("every", every), "t", "size(every) > 0").withColumn("near", F.when(F.size("every") > 0, near))
-    rows = staged(rows.select(F.monotonically_increasing_id().alias("rid"), "id", *KINDS, "near"), "pii-base")
+    near = F.expr(f"transform(every, s -> struct(s.entities, {first} AS at, {window} AS around, s.end + {NEAR} >= length(t) AS last))")
+    rows = base_spans(docs, id_col, text_col).withColumn("every", F.concat(*[F.expr(x) for x in shared.values()]))
+    rows = in_pieces(rows, "t", "size(every) > 0").withColumn("near", F.when(F.size("every") > 0, near))
+    rows = staged(rows.select(F.monotonically_increasing_id().alias("rid"), "id", "t", *KINDS, "near"), "pii-base")
 
     mentions = rows.filter(F.size("near") > 0).select("rid", F.explode("near").alias("m")).select("rid", "m.*")
     # a word that the window cuts off isn't a term
-    whole = "filter({0}, x -> (at = 0 OR x.start > 0) AND x.end < length(around))".format(matches("around", TERM))
-    terms = mentions.select("rid", "entity", F.xxhash64("around").alias("context"), "at", F.explode(F.expr(whole)).alias("x"))
-    terms = terms.select("rid", "entity", "context", F.lower("x.value").alias("term"), (F.col("at") + F.col("x.start")).alias("start"), (F.col("at") + F.col("x.end")).alias("end"))
-    terms = staged(_clear(terms, rows), "pii-terms")
+    whole = "filter({0}, x -> (at = 0 OR x.start > 0) AND (last OR x.end < length(around)))".format(matches("around", TERM))
+    terms = mentions.select("rid", "entities", F.xxhash64("around").alias("context"), "at", F.explode(F.expr(whole)).alias("x"))
+    terms = terms.select("rid", "entities", "context", F.lower("x.value").alias("term"), (F.col("at") + F.col("x.start")).alias("start"), (F.col("at") + F.col("x.end")).alias("end"))
+    terms = staged(_clear(terms, rows).select("rid", F.explode("entities").alias("entity"), "context", "term"), "pii-terms")
 
     seen = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= support)
-    both = terms.select("entity", "term", "rid").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
+    both = terms.select("entity", "term", "rid").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support)
     pairs = staged(both.join(seen, ["entity", "term"]), "pii-pairs")
-    n_e = mentions.select("entity", "rid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    n_e = mentions.select(F.explode("entities").alias("entity"), "rid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
 
-    wanted = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text_or_empty(text_col), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
+    words = rows.select("rid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pairs.select("term").distinct(), "term")
     total = rows.count()
     share = F.log(F.col("n_te") * float(total) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
     telling = pairs.join(n_e, "entity").join(n_t, "term").filter(F.col("n_e") < total).withColumn("disclosure", share)
-    telling = staged(telling.filter(F.col("disclosure") >= disclosure).select("entity", "term"), "pii-telling")
+    telling = staged(telling.filter(F.col("disclosure") >= disclosure).select("term").distinct(), "pii-telling")
 
-    flagged = terms.join(telling, ["entity", "term"], "left_semi").select("rid", F.struct("start", "end", F.col("term").alias("value")).alias("s")).distinct()
-    flagged = flagged.groupBy("rid").agg(F.array_sort(F.collect_list("s")).alias("found"))
+    # which texts hold a telling term, and only then where
+    holds = staged(words.join(F.broadcast(telling) if telling.count() <= MOST_SENT else telling, "term", "left_semi"), "pii-holds")
+    places = rows.join(holds.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(F.expr(matches("t", TERM))).alias("x"))
+    places = places.select("rid", F.lower("x.value").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end")).join(holds, ["rid", "term"], "left_semi")
+    flagged = _clear(places, rows).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("term").alias("value")))).alias("found"))
     joined = rows.join(flagged, "rid", "left")
     return joined.select("rid", "id", *KINDS, F.coalesce("found", F.expr(f"cast(array() AS array<{SPAN}>)")).alias("term"))
 
@@ -216,29 +236,33 @@ _HOLDS = {
     "card": f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}",
     "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
 }
+_BLOCK = f"""CASE kind WHEN 'email' THEN regexp_extract(lower(value), '@.*$') WHEN 'ip' THEN regexp_replace(value, '[0-9]+$', '*')
+    WHEN 'card' THEN left({_DIGITS}, 6) || '*' ELSE left({_DIGITS}, length({_DIGITS}) - 4) || '*' END"""
 OP1_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 base AS (
   {" UNION ALL ".join(f"SELECT rid, {k} AS kind_no, '{kind}' AS kind, start, stop, value FROM ({_sql_spans('t', GIVEN[kind], 'rid')} FROM d))) WHERE {_HOLDS[kind]}" for k, kind in enumerate(KINDS))}),
 mentions AS (
-  SELECT rid, kind || ':' || lower(value) AS entity, greatest(start - {NEAR}, 0) AS at_place,
+  SELECT rid, [kind || ':' || lower(value), kind || ':' || {_BLOCK}] AS entities, greatest(start - {NEAR}, 0) AS at_place, stop + {NEAR} >= length(t) AS last,
          substring(t, greatest(start - {NEAR}, 0) + 1, least(start, {NEAR})) || repeat(' ', stop - start) || substring(t, stop + 1, {NEAR}) AS around
   FROM base JOIN d USING (rid)),
-found AS ({_sql_spans("around", TERM, "rid, entity, around, at_place")} FROM mentions))),
+found AS ({_sql_spans("around", TERM, "rid, entities, around, at_place, last")} FROM mentions))),
 terms AS (
-  SELECT rid, entity, around, lower(value) AS term, at_place + start AS start, at_place + stop AS stop FROM found f
-  WHERE (at_place = 0 OR start > 0) AND stop < length(around)
+  SELECT rid, unnest(entities) AS entity, around, lower(value) AS term FROM found f
+  WHERE (at_place = 0 OR start > 0) AND (last OR stop < length(around))
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = f.rid AND b.start < at_place + f.stop AND b.stop > at_place + f.start)),
-pairs AS (SELECT entity, term, count(DISTINCT rid) AS n_te FROM terms GROUP BY ALL HAVING count(DISTINCT around) >= 3),
-n_e AS (SELECT entity, count(DISTINCT rid) AS n_e FROM mentions GROUP BY 1),
-n_t AS (
-  SELECT term, count(*) AS n_t FROM (SELECT DISTINCT rid, lower(unnest(regexp_extract_all(t, '{TERM}'))) AS term FROM d)
-  WHERE term IN (SELECT term FROM pairs) GROUP BY 1),
+pairs AS (SELECT entity, term, count(DISTINCT rid) AS n_te FROM terms GROUP BY ALL HAVING count(DISTINCT around) >= 3 AND count(DISTINCT rid) >= 3),
+n_e AS (SELECT entity, count(DISTINCT rid) AS n_e FROM (SELECT rid, unnest(entities) AS entity FROM mentions) GROUP BY 1),
+words AS (SELECT DISTINCT rid, lower(unnest(regexp_extract_all(t, '{TERM}'))) AS term FROM d),
+n_t AS (SELECT term, count(*) AS n_t FROM words WHERE term IN (SELECT term FROM pairs) GROUP BY 1),
 total AS (SELECT count(*)::DOUBLE AS total FROM d),
 telling AS (
-  SELECT entity, term FROM pairs JOIN n_e USING (entity) JOIN n_t USING (term), total
+  SELECT DISTINCT term FROM pairs JOIN n_e USING (entity) JOIN n_t USING (term), total
   WHERE n_e < total AND ln(n_te * total / (n_t * n_e)) / ln(total / n_e) >= 0.8),
-flagged AS (SELECT DISTINCT rid, start, stop, term FROM terms JOIN telling USING (entity, term)),
+places AS ({_sql_spans("t", TERM, "rid")} FROM (SELECT * FROM d WHERE rid IN (SELECT rid FROM words WHERE term IN (SELECT term FROM telling)))))),
+flagged AS (
+  SELECT rid, start, stop, lower(value) AS term FROM places p
+  WHERE lower(value) IN (SELECT term FROM telling) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = p.rid AND b.start < p.stop AND b.stop > p.start)),
 listed AS (SELECT rid, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY kind_no, start) AS spans,
                   {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)} FROM base GROUP BY rid),
 more AS (SELECT rid, string_agg('term:' || start || ':' || stop, ',' ORDER BY start, stop, term) AS spans, count(*) AS n_term FROM flagged GROUP BY rid)

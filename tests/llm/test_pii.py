@@ -89,6 +89,30 @@ def test_copies_of_one_passage_are_one_context(spark, documents):
     assert not any(r["term"] for r in pii.find_personal(documents(texts)).collect())
 
 
+def test_values_that_occur_once_count_by_their_domain_or_block(spark, documents):
+    """Ann stands beside eight addresses of one domain, Li beside eight cards of one block, each once, and is a term wherever it stands."""
+    fill = ("alpha", "bravo", "delta", "gamma", "omega", "sigma", "theta", "kappa")
+    cards = [c for c in (f"411111000000{k:04d}" for k in range(300)) if luhn(c)][:8]
+    texts = [f"{w} Ann u{k}@quill.org {w}" for k, w in enumerate(fill)]
+    texts += [f"pay {w} {c} {w} for Li" for w, c in zip(fill, cards, strict=True)]
+    texts += [f"{'pad ' * 50}ann and {w}, LI" for w in fill[:2]]
+    texts += [f"pay {w} for {w} and pad" for w in fill] * 12
+    rows = pii.find_personal(documents(texts)).collect()
+    assert {s["value"] for r in rows for s in r["term"]} == {"ann", "li"}
+    assert all(len(r["term"]) == (1 if r["id"] < 16 else 2 if r["id"] < 18 else 0) for r in rows)
+    clean = {r["id"]: r["text"] for r in pii.sanitised(documents(texts)).collect()}
+    assert clean[8] == "pay alpha [CARD] alpha for " and clean[16].endswith("pad  and alpha, ")
+
+
+def test_more_telling_terms_than_are_sent(spark, documents, monkeypatch):
+    texts = [f"Number {w} of Quixote reach joe@example.org by {w} mail." for w in ("alpha", "bravo", "delta", "gamma")]
+    docs = documents(texts + ["number of plain mail by reach, quixote"] + [f"number of {w} mail by reach" for w in ("plain", "alpha", "bravo", "delta", "gamma")] * 6)
+    sent = [sorted(map(str, pii.find_personal(docs).drop("rid").collect()))]
+    monkeypatch.setattr(pii, "MOST_SENT", 0)
+    assert [sorted(map(str, pii.find_personal(docs).drop("rid").collect()))] == sent
+    assert str(sent).count("quixote") == 5
+
+
 def test_empty_table_nulls_and_clashing_columns(spark, documents):
     assert pii.find_personal(documents([])).count() == 0
     odd = documents([(None, None), (None, "a@b.cd"), (3, "a@b.cd"), (3, "a@b.cd")])
@@ -102,6 +126,8 @@ def test_sql_gives_the_same_rows(spark, documents, written):
     texts = [f"Number {w} of Quixote reach joe@example.org by {w} mail." for w in ("alpha", "bravo", "delta", "gamma")]
     texts += [f"number of {w} by mail reach" for w in ("other", "plain", "words", "alpha")] * 5
     texts += [f"{'pad ' * k}Quixote joe@example.org 10.0.0.{k} +44 20 7946 0958 Sancho Quixote joe@example.org" for k in range(15, 24)]
+    texts += [f"{w} Ann u{k}@quill.org {w}" for k, w in enumerate(("alpha", "bravo", "omega", "sigma"))] + ["of ann u8@quill.or"]
+    texts += [f"+49 30 1234{k:04d} and 10.20.30.{k} calls Bo" for k in range(5)]
     texts += [t for t in TEXTS if t is None or len(t) < 5000]
     for folder in (SF, written(documents=documents(texts))):
         con = duckdb.connect()
