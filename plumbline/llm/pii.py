@@ -139,12 +139,12 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = {k: f"transform({k}, s -> struct(s.start, s.end, array(concat('{k}:', lower(s.value)), concat('{k}:', {BLOCKS[k]})) AS entities))" for k in KINDS}
     first = f"greatest(s.start - {NEAR}, 0)"
     window = f"concat({beside(first, f'least(s.start, {NEAR})')}, repeat(' ', s.end - s.start), {beside('s.end', NEAR)})"
-    near = F.expr(f"transform(every, s -> struct(s.entities, {first} AS at, {window} AS around, s.end + {NEAR} >= length(t) AS last))")
+    near = F.expr(f"transform(every, s -> struct(s.entities, {first} AS at, {window} AS around, s.end AS stop))")
     rows = base_spans(docs, id_col, text_col).withColumn("every", F.concat(*[F.expr(x) for x in shared.values()]))
     rows = in_pieces(rows, "t", "size(every) > 0").withColumn("near", F.when(F.size("every") > 0, near))
-    rows = staged(rows.select(F.monotonically_increasing_id().alias("rid"), "id", "t", *KINDS, "near"), "pii-base")
+    rows = staged(rows.select(F.monotonically_increasing_id().alias("rid"), "id", "t", F.length("t").alias("n"), *KINDS, "near"), "pii-base")
 
-    mentions = rows.filter(F.size("near") > 0).select("rid", F.explode("near").alias("m")).select("rid", "m.*")
+    mentions = rows.filter(F.size("near") > 0).select("rid", "n", F.explode("near").alias("m")).select("rid", "m.*", (F.col("m.stop") + NEAR >= F.col("n")).alias("last"))
     # a word that the window cuts off isn't a term
     whole = "filter({0}, x -> (at = 0 OR x.start > 0) AND (last OR x.end < length(around)))".format(matches("around", TERM))
     terms = mentions.select("rid", "entities", F.xxhash64("around").alias("context"), "at", F.explode(F.expr(whole)).alias("x"))
