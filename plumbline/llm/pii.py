@@ -61,11 +61,13 @@ SPAN = "struct<start:int,end:int,value:string>"
 #: Telling terms to send to every executor at most; beyond, the words of all texts are shuffled to them.
 MOST_SENT = 100_000
 #: Matches whose places are summed together; code points of the pieces that windows are cut from.
-BLOCK, PIECE = 500, 1024
+BLOCK, PIECE = 100, 1024
+#: Buckets of words, so that a word is looked up in a bounded list however many terms its text holds.
+BUCKETS = 256
 
 
-def matches(text: str, pattern: str) -> str:
-    """SQL: the matches of a pattern in a text as an array of SPAN.
+def matches(text: str, pattern: str, wanted: str = "true") -> str:
+    """SQL: the matches x of a pattern in a text that are ``wanted``, as an array of SPAN.
 
     The pieces between the matches and the matches themselves, laid end to end,
     give the offsets.
@@ -73,7 +75,7 @@ def matches(text: str, pattern: str) -> str:
     quoted = "r'" + pattern + "'"
     none = f"cast(array() AS array<{SPAN}>)"
     pairs = f"zip_with(split({text}, {quoted}, -1), regexp_extract_all({text}, {quoted}, 0), (p, m) -> struct(length(p) AS gap, m AS value))"
-    step = "named_struct('at', acc.at + x.gap + coalesce(length(x.value), 0), 'found', CASE WHEN x.value IS NULL THEN acc.found ELSE array_append(acc.found, named_struct('start', acc.at + x.gap, 'end', acc.at + x.gap + length(x.value), 'value', x.value)) END)"
+    step = f"named_struct('at', acc.at + x.gap + coalesce(length(x.value), 0), 'found', CASE WHEN x.value IS NOT NULL AND {wanted} THEN array_append(acc.found, named_struct('start', acc.at + x.gap, 'end', acc.at + x.gap + length(x.value), 'value', x.value)) ELSE acc.found END)"
     block = f"aggregate(slice(pairs, k, {BLOCK}), named_struct('at', whole.at, 'found', {none}), (acc, x) -> {step}, acc -> named_struct('at', acc.at, 'blocks', array_append(whole.blocks, acc.found)))"
     blocks = f"aggregate(sequence(1, size(pairs), {BLOCK}), named_struct('at', 0, 'blocks', cast(array() AS array<array<{SPAN}>>)), (whole, k) -> {block}, whole -> flatten(whole.blocks))"
     # as the only element of an array the pairs have a name, and are found once
@@ -129,6 +131,10 @@ BLOCKS = {
 }
 
 
+def _bucket(term: str) -> str:
+    return f"pmod(xxhash64({term}), {BUCKETS})"
+
+
 def _listed(spans: str | Column, kind: str) -> Column:
     spans = F.col(spans) if isinstance(spans, str) else spans
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
@@ -163,9 +169,10 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     telling = pairs.join(n_e, "entity").join(n_t, "term").filter(F.col("n_e") < total).withColumn("disclosure", share)
     telling = staged(telling.filter(F.col("disclosure") >= disclosure).select("term").distinct(), "pii-telling")
 
-    # which texts hold a telling term, and only then where
+    # which texts hold telling terms, and only then where; of other words most are left out by their buckets
     holds = staged(words.join(F.broadcast(telling) if telling.count() <= MOST_SENT else telling, "term", "left_semi"), "pii-holds")
-    places = rows.join(holds.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(F.expr(matches("t", TERM))).alias("x"))
+    held = holds.groupBy("rid").agg(F.collect_set(F.expr(_bucket("term"))).alias("buckets"))
+    places = rows.join(held, "rid").select("rid", F.explode(F.expr(matches("t", TERM, f"array_contains(buckets, {_bucket('lower(x.value)')})"))).alias("x"))
     places = places.select("rid", F.lower("x.value").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end")).join(holds, ["rid", "term"], "left_semi")
     flagged = _clear(places, rows).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("term").alias("value")))).alias("found"))
     joined = rows.join(flagged, "rid", "left")
