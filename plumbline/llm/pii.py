@@ -58,7 +58,7 @@ TERM = r"\p{L}{2,}"
 NEAR = 80
 
 SPAN = "struct<start:int,end:int,value:string>"
-#: Telling terms to send to every executor at most; beyond, the words of all texts are shuffled to them.
+#: Terms, paired or telling, to send to every executor at most; beyond, the words of all texts are shuffled.
 MOST_SENT = 100_000
 #: Matches whose places are summed together; code points of the pieces that windows are cut from.
 BLOCK, PIECE = 100, 1024
@@ -163,7 +163,9 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_e = mentions.select(F.explode("entities").alias("entity"), "rid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
 
     words = rows.select("rid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pairs.select("term").distinct(), "term")
+    paired = staged(pairs.select("term").distinct(), "pii-paired")
+    sought = words.join(F.broadcast(paired), "term", "left_semi") if paired.count() <= MOST_SENT else words
+    n_t = sought.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = rows.count()
     share = F.log(F.col("n_te") * float(total) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
     telling = pairs.join(n_e, "entity").join(n_t, "term").filter(F.col("n_e") < total).withColumn("disclosure", share)
