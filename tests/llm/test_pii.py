@@ -109,6 +109,7 @@ def test_more_telling_terms_than_are_sent(spark, documents, monkeypatch):
     docs = documents(texts + ["number of plain mail by reach, quixote"] + [f"number of {w} mail by reach" for w in ("plain", "alpha", "bravo", "delta", "gamma")] * 6)
     sent = [sorted(map(str, pii.find_personal(docs).drop("rid").collect()))]
     monkeypatch.setattr(pii, "MOST_SENT", 0)
+    monkeypatch.setattr(pii, "BUCKETS", 1)
     assert [sorted(map(str, pii.find_personal(docs).drop("rid").collect()))] == sent
     assert str(sent).count("quixote") == 5
 
